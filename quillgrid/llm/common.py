@@ -82,3 +82,20 @@ def materialise(frame: DataFrame, label: str) -> DataFrame:
     path = shared_folder(spark, label)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def keep_share(key: Column, share: Column | float) -> Column:
+    """True for about that share of all keys, always the same ones."""
+    share = share if isinstance(share, Column) else F.lit(float(share))
+    return F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 30)) < share * F.lit(float(1 << 30))
+
+
+class Numbers(dict):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        return number
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))

@@ -213,8 +213,8 @@ _ANSWER_ARROW = pa.schema([("batch", pa.int32()), ("runs", pa.binary())])
 
 
 def remove_repeats(
-    documents: DataFrame, window: int = 13, minimiser: int = 2, batches_per_partition: int = 8,
-    buckets_per_partition: int = 2, keep_text: bool = True,
+    documents: DataFrame, window: int = 13, minimiser: int = 2, batches_per_partition: int = 4,
+    buckets_per_partition: int = 1, keep_text: bool = True,
 ) -> DataFrame:
     """``doc_key, n_words, n_removed, kept, kept_sha256`` for every row; kept: the words left, joined by one space.
 
