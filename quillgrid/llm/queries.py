@@ -49,9 +49,23 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.digest(_read(spark, sf_dir, "documents"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import license_scan
+
+    return license_scan.scan(_read(spark, sf_dir, "documents"), threshold=0.8)
+
+
+def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import nearest
+
+    return nearest.digest(_read(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import license_scan, nearest
+
+    return {"op9_license_scan": license_scan.oracle(0.8), "op10_nearest_vectors": nearest.ORACLE}

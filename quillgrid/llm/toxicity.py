@@ -75,13 +75,17 @@ def noisy_or(p: np.ndarray) -> float:
     return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())) if len(p) else 0.0
 
 
-def train(documents: list[list[list[bytes]]], y: np.ndarray, dims: int, rounds: int, sparse: float = 2e-4) -> Model:
-    """Gradient steps through the noisy-or, with soft thresholding: most words keep no weight at all."""
+def train(documents: list[list[list[bytes]]], y: np.ndarray, dims: int, rounds: int, prior: float, sparse: float = 0.09) -> Model:
+    """Gradient steps through the noisy-or, with soft thresholding: most words keep no weight at all.
+
+    prior: the share of toxic documents; sparse: the threshold as a multiple of a chance gradient.
+    """
     weights, bias = np.zeros(dims), -6.0
     full = np.array([bool(d) for d in documents], bool)
     y, documents = y[full] if len(y) else y, [d for d in documents if d]
     if not 0 < y.sum() < len(y):
         return Model(weights, bias)
+    sparse = sparse * prior / np.sqrt(y.sum())
     known = Numbers()
     numbers = known.of([w for d in documents for s in d for w in s])
     features = _features(list(known), dims)
@@ -95,7 +99,7 @@ def train(documents: list[list[list[bytes]]], y: np.ndarray, dims: int, rounds:
     np.add.at(df, features[words_at % len(known)].ravel(), 1)
     usable = df >= 3
     first_word, first_sentence = np.cumsum(sizes) - sizes, np.cumsum(per_document) - per_document
-    balance = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
+    balance = np.where(y == 1, prior / y.sum(), (1 - prior) / (len(y) - y.sum()))
     m, v, mb, vb = np.zeros(dims), np.zeros(dims), 0.0, 0.0
     for t in range(1, rounds + 1):
         z = np.add.reduceat(weights[features].sum(1)[numbers], first_word) + bias
@@ -129,7 +133,7 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = 2500, dims: in
     sample = rows.join(F.broadcast(chosen), "doc_id").select("text", "toxic").limit(8 * per_class).toArrow()
     y = sample["toxic"].to_numpy().astype(float)
     documents_ = [[s[2] for s in _sentences(t)] for t in texts(sample["text"])]
-    return train(documents_, y, dims, rounds)
+    return train(documents_, y, dims, rounds, counts.get(1, 0) / max(1, sum(counts.values())))
 
 
 def score(documents: DataFrame, model: Model, offending: float = 0.5) -> DataFrame:
