@@ -99,3 +99,18 @@ class Numbers(dict):
 
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+
+def packed(documents: DataFrame) -> DataFrame:
+    """doc_key, text, and all other columns in one struct ``row``, whatever their names are."""
+    rest = [documents[c] for c in documents.columns if c != "text"]
+    return documents.select(key_id().alias("doc_key"), F.col("text").cast("string").alias("text"), F.struct(*rest).alias("row"))
+
+
+def unpacked(frame: DataFrame, columns: list[str]) -> list[Column]:
+    """The columns that ``packed`` took in, in their order."""
+    return [F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in columns]
+
+
+def type_of(frame: DataFrame, column: str) -> str:
+    return frame.schema[column].dataType.simpleString()

@@ -14,10 +14,10 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLD, as_id, folded_words, key_id, materialise, texts
+from .common import FOLD, as_id, folded_words, materialise, packed, texts, type_of
 
 _SPANS = pa.list_(pa.list_(pa.int64()))
 _BUILT: dict[str, ahocorasick.Automaton] = {}
@@ -89,8 +89,8 @@ def _slices(benchmark: DataFrame, slice_bytes: int) -> Iterator[list[tuple[str,
         yield [(r.item, bytes(r.text)) for r in rows.filter(part == k).distinct().toLocalIterator()]
 
 
-def find(documents: DataFrame, benchmark: DataFrame, window: int = 13, slice_bytes: int = 4 << 20) -> DataFrame:
-    """doc_key, n_words, spans (of words), items, byte_spans (in the text's UTF-8), row by row of documents.
+def find(documents: DataFrame, benchmark: DataFrame, window: int = 13, slice_bytes: int = 4 << 20, carry: bool = False) -> DataFrame:
+    """doc_key (with carry, also text and row), n_words, spans (of words), items, byte_spans (in the text's UTF-8), row by row of documents.
 
     An item shorter than a window, but not empty, is one window; empty and null items have none. A
     null text has no words. Items with one id count as one; a null item_id counts as the item "null".
@@ -98,10 +98,14 @@ def find(documents: DataFrame, benchmark: DataFrame, window: int = 13, slice_byt
     """
     spark = documents.sparkSession
     found = "n_words long, spans array<array<long>>, items array<string>"
-    rows = documents.select(
-        key_id().alias("doc_key"), F.col("text").cast("string").alias("text"),
-        F.lit(None).cast("long").alias("n_words"), F.array().cast("array<array<long>>").alias("spans"), F.array().cast("array<string>").alias("items"),
-    )
+    rows = packed(documents)
+    if not carry:
+        rows = rows.select("doc_key", "text")
+    carried = rows.columns
+    given = {True: [c for c in carried if carry or c == "doc_key"], False: carried}
+    schema = {last: ", ".join(f"{c} {type_of(rows, c)}" for c in names) for last, names in given.items()}
+    nothing = {"n_words": F.lit(None).cast("long"), "spans": F.array().cast("array<array<long>>"), "items": F.array().cast("array<string>")}
+    rows = rows.withColumns(nothing)
 
     def scanning(items, last: bool):
         mark = hashlib.sha256(repr((window, sorted(items))).encode()).hexdigest()
@@ -112,14 +116,12 @@ def find(documents: DataFrame, benchmark: DataFrame, window: int = 13, slice_byt
             for batch in batches:
                 raw = texts(batch["text"])
                 out = [scan(*x) for x in zip(raw, [machine] * len(raw), batch["spans"].to_pylist(), batch["items"].to_pylist())]
-                columns = {
-                    "doc_key": batch["doc_key"], "n_words": pa.array([x[0] for x in out], pa.int64()),
+                columns = {c: batch[c] for c in given[last]} | {
+                    "n_words": pa.array([x[0] for x in out], pa.int64()),
                     "spans": pa.array([x[1] for x in out], _SPANS), "items": pa.array([x[2] for x in out], pa.list_(pa.string())),
                 }
                 if last:
                     columns["byte_spans"] = pa.array([original_spans(t, x[1]) for t, x in zip(raw, out)], _SPANS)
-                else:
-                    columns["text"] = batch["text"]
                 yield pa.RecordBatch.from_pydict(columns)
 
         return run
@@ -127,16 +129,25 @@ def find(documents: DataFrame, benchmark: DataFrame, window: int = 13, slice_byt
     slices = _slices(benchmark, slice_bytes)
     now = next(slices)
     for later in slices:  # one automaton at a time is in a worker's memory
-        rows = materialise(rows.mapInArrow(scanning(now, False), f"doc_key long, {found}, text string"), "scan")
+        rows = materialise(rows.mapInArrow(scanning(now, False), f"{schema[False]}, {found}"), "scan")
         now = later
-    return rows.mapInArrow(scanning(now, True), f"doc_key long, {found}, byte_spans array<array<long>>")
+    return rows.mapInArrow(scanning(now, True), f"{schema[True]}, {found}, byte_spans array<array<long>>")
+
+
+def n_hit() -> Column:
+    """Words inside the spans."""
+    return F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x[1] - x[0]), F.lit(0))
+
+
+def contaminated() -> Column:
+    """A hit, and hits in at least 5 % of the words."""
+    return (n_hit() > 0) & (20 * n_hit() >= F.col("n_words"))
 
 
 def digest(documents: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated (a hit, and at least 5 % of the words)."""
-    n_hit = F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x[1] - x[0]), F.lit(0))
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row."""
     return find(documents, benchmark, **parameters).select(
-        as_id("doc_key").alias("doc_id"), "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        as_id("doc_key").alias("doc_id"), "n_words", n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
+        contaminated().alias("contaminated"),
     )

@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLD, Numbers, as_id, keep_share, key_id, texts
+from .common import FOLD, Numbers, as_id, keep_share, packed, texts, type_of
 
 _LETTER = regex.compile(r"\p{L}")
 _CHUNK = 1 << 18
@@ -152,8 +152,8 @@ def fit(rows: DataFrame, per_language: int = 500, dims: int = 4096, rounds: int
     return Model(languages, code, (weights * scale[:, None]).astype(np.float32), bias)
 
 
-def predict(documents: DataFrame, model: Model | None, ambiguous_below: float = 0.05) -> DataFrame:
-    """doc_key, lang_pred, score, ambiguous of every row, from the text alone.
+def predict(documents: DataFrame, model: Model | None, ambiguous_below: float = 0.05, carry: bool = False) -> DataFrame:
+    """doc_key, lang_pred, score, ambiguous of every row, from the text alone; with carry, also text and row.
 
     Null texts and texts without a letter are ``und`` with score 0; so is everything where no labelled
     row was given. With one language all other texts have it, with score 1. Rows are judged one by one.
@@ -172,10 +172,15 @@ def predict(documents: DataFrame, model: Model | None, ambiguous_below: float =
                 for i, b in zip(at.tolist(), best.tolist()):
                     names[i] = model.languages[b]
                 scores[at], vague[at] = share, gap < ambiguous_below
-            yield pa.RecordBatch.from_arrays([batch["doc_key"], pa.array(names), pa.array(scores), pa.array(vague)], ["doc_key", "lang_pred", "score", "ambiguous"])
-
-    rows = documents.select(key_id().alias("doc_key"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_key long, lang_pred string, score double, ambiguous boolean")
+            found = {"lang_pred": pa.array(names, pa.string()), "score": pa.array(scores), "ambiguous": pa.array(vague)}
+            yield pa.RecordBatch.from_pydict({c: batch[c] for c in carried} | found)
+
+    rows = packed(documents)
+    if not carry:
+        rows = rows.select("doc_key", "text")
+    carried = [c for c in rows.columns if carry or c == "doc_key"]
+    schema = ", ".join(f"{c} {type_of(rows, c)}" for c in carried)
+    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double, ambiguous boolean")
 
 
 def held_out(folds: int, fold: int) -> Column:

@@ -11,6 +11,12 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc
+
+    return warc.digest(_read(spark, sf_dir, "pages"), least_payload=1000)
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import substring_dedup
 
@@ -23,6 +29,13 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"), shingle=4, radius=4)
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import mixing
+
+    documents = _read(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.mix(documents, temperature=0.5, block=64)
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import decontaminate
 
@@ -66,6 +79,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import license_scan, nearest
+    from . import license_scan, nearest, warc
 
-    return {"op9_license_scan": license_scan.oracle(0.8), "op10_nearest_vectors": nearest.ORACLE}
+    return {"op1_warc_index": warc.ORACLE, "op9_license_scan": license_scan.oracle(0.8), "op10_nearest_vectors": nearest.ORACLE}

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_id, key_id, materialise, partitions, texts
+from .common import as_id, key_id, materialise, packed, partitions, texts, unpacked
 
 SEED = 42
 _CHUNK = 1 << 16
@@ -175,23 +175,35 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(documents: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
-    """doc_id, fingerprint (hex), component_id (the smallest doc_id reachable by links) of every row.
-
-    Null, empty and all-white texts have fingerprint zero and link like any other. Repeated rows come
-    back as often as they came in. A null doc_id sorts after all others: a component of such rows
-    alone has a null component_id. An empty table gives an empty result.
-    """
+def labelled(documents: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
+    """doc_key, fp, component (the smallest doc_key reachable) of every row."""
     prints = materialise(fingerprints(documents, shingle), "fingerprints")
     codes = materialise(prints.groupBy("fp").agg(F.min("doc_key").alias("least")), "codes")
-    spare = 1 if codes.count() < 1 << 25 else 2 if radius + 2 <= 16 else 1
+    spare = 1 if codes.count() < 1 << 25 else 2  # longer shard keys for more codes; the links are the same
     edges = links(codes, radius, spare)
     roots = components(edges.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")))
     members = codes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = members.groupBy("root").agg(F.min("least").alias("component"))
     labels = members.join(least, "root").select("fp", "component")
-    return prints.join(labels, "fp").select(
+    return prints.join(labels, "fp").select("doc_key", "fp", "component")
+
+
+def near_duplicates(documents: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
+    """doc_id, fingerprint (hex), component_id (the smallest doc_id reachable by links) of every row.
+
+    Null, empty and all-white texts have fingerprint zero and link like any other. Repeated rows come
+    back as often as they came in. A null doc_id sorts after all others: a component of such rows
+    alone has a null component_id. An empty table gives an empty result.
+    """
+    return labelled(documents, shingle, radius).select(
         as_id("doc_key").alias("doc_id"),
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         as_id("component").alias("component_id"),
     )
+
+
+def keep_one(documents: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
+    """The rows and columns of one document of each component: the smallest id, one row where ids repeat."""
+    kept = labelled(documents, shingle, radius).filter("doc_key = component").select("doc_key").distinct()
+    rows = packed(documents).join(kept, "doc_key", "left_semi").dropDuplicates(["doc_key"])
+    return rows.select(*unpacked(rows, documents.columns))

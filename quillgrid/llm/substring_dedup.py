@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, as_id, key_id, mix64, partitions, plain_words, texts
+from .common import NULL_ID, as_id, mix64, packed, partitions, plain_words, texts, type_of
 
 _PACKED = "bucket int, batch int, packed binary, entries binary"
 _ANSWER = "batch int, runs binary"
@@ -214,9 +214,10 @@ _ANSWER_ARROW = pa.schema([("batch", pa.int32()), ("runs", pa.binary())])
 
 def remove_repeats(
     documents: DataFrame, window: int = 13, minimiser: int = 2, batches_per_partition: int = 4,
-    buckets_per_partition: int = 1, keep_text: bool = True,
+    buckets_per_partition: int = 1, keep_text: bool = True, carry: bool = False,
 ) -> DataFrame:
-    """``doc_key, n_words, n_removed, kept, kept_sha256`` for every row; kept: the words left, joined by one space.
+    """``doc_key, n_words, n_removed, kept, kept_sha256`` for every row; kept: the words left, joined by
+    one space, or the text as it came where none went; with carry, also ``row``, a struct of all columns but text.
 
     Words are runs of bytes other than ASCII white space. A word goes if any window over it also
     starts in a document with a smaller id. Null texts have no words; texts shorter than a window
@@ -228,10 +229,11 @@ def remove_repeats(
     spark = documents.sparkSession
     n = partitions(spark)
     n_batches, n_buckets = n * batches_per_partition, n * buckets_per_partition
-    dealt = documents.select(key_id().alias("doc_key"), F.col("text").cast("string").alias("text")).withColumn(
-        "batch", F.pmod(F.xxhash64("doc_key"), F.lit(n_batches)).cast("int")
-    )
-    dealt = dealt.repartition(n, "batch")
+    rows = packed(documents)
+    if not carry:
+        rows = rows.withColumn("row", F.lit(None).cast("boolean"))
+    kind = type_of(rows, "row")
+    dealt = rows.withColumn("batch", F.pmod(F.xxhash64("doc_key"), F.lit(n_batches)).cast("int")).repartition(n, "batch")
 
     def pack(table: pa.Table) -> pa.Table:
         batch = _Batch(table["doc_key"].to_pylist(), texts(table["text"]), window, minimiser)
@@ -246,20 +248,21 @@ def remove_repeats(
         runs = [np.frombuffer(_unzip(r), _RUN) for r in right["runs"].to_pylist()]
         gone = batch.removed(np.concatenate(runs) if runs else np.zeros(0, _RUN))
         n_removed, kept, sha = [], [], []
-        for words, a in zip(batch.words, batch.bounds.tolist()):
+        raw = texts(left["text"])
+        for words, a, at in zip(batch.words, batch.bounds.tolist(), batch.order):
             out = gone[a : a + len(words)]
             n_removed.append(int(out.sum()))
             text = b" ".join([w for w, x in zip(words, out.tolist()) if not x] if n_removed[-1] else words)
-            kept.append(text)
+            kept.append(text if n_removed[-1] else raw[at])
             sha.append(hashlib.sha256(text).hexdigest())
         return pa.table({
-            "doc_key": batch.ids, "n_words": np.array([len(w) for w in batch.words], np.int64),
+            "doc_key": batch.ids, "row": left["row"].take(pa.array(batch.order, pa.int64())), "n_words": np.array([len(w) for w in batch.words], np.int64),
             "n_removed": np.array(n_removed, np.int64), "kept": pa.array(kept, pa.binary()).cast(pa.string()) if keep_text else pa.nulls(len(kept), pa.string()),
             "kept_sha256": sha,
         })
 
     answers = dealt.groupBy("batch").applyInArrow(pack, _PACKED).groupBy("bucket").applyInArrow(answer, _ANSWER)
-    schema = "doc_key long, n_words long, n_removed long, kept string, kept_sha256 string"
+    schema = f"doc_key long, row {kind}, n_words long, n_removed long, kept string, kept_sha256 string"
     return dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(apply, schema)
 
 
