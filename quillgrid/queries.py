@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .plans import aggregates, scalars, series, statistics, tables
+
+_MODULES = (aggregates, scalars, tables, series, statistics)
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for module in _MODULES for name, sql in module.SQL.items()}
