@@ -33,6 +33,19 @@ def texts(column) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def in_slices(raw: list[bytes | None], limit: int = 1 << 21):
+    """(begin, end) of runs of texts of about ``limit`` bytes: what is made of them at once stays small."""
+    begin, size = 0, 0
+    for i, t in enumerate(raw):
+        n = len(t or b"")
+        if i > begin and size + n > limit:
+            yield begin, i
+            begin, size = i, 0
+        size += n
+    if begin < len(raw):
+        yield begin, len(raw)
+
+
 def plain_words(text: bytes | None) -> list[bytes]:
     """Words [^ \\t\\n\\v\\f\\r]+ of a text; none for null."""
     return text.split() if text else []

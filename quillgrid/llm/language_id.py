@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLD, Numbers, as_id, keep_share, packed, texts, type_of
+from .common import FOLD, Numbers, as_id, in_slices, keep_share, packed, texts, type_of
 
 _LETTER = regex.compile(r"\p{L}")
 _CHUNK = 1 << 18
@@ -164,14 +164,14 @@ def predict(documents: DataFrame, model: Model | None, ambiguous_below: float =
         model = sent.value
         for batch in batches:
             raw = texts(batch["text"])
-            known = np.array([model is not None and _has_letter(t) for t in raw], bool)
             names, scores, vague = ["und"] * len(raw), np.zeros(len(raw)), np.zeros(len(raw), bool)
-            if known.any():
-                at = np.flatnonzero(known)
-                best, share, gap = model.decode(model.margins([_words(raw[i]) for i in at]))
-                for i, b in zip(at.tolist(), best.tolist()):
-                    names[i] = model.languages[b]
-                scores[at], vague[at] = share, gap < ambiguous_below
+            for begin, end in in_slices(raw):
+                at = [i for i in range(begin, end) if model is not None and _has_letter(raw[i])]
+                if at:
+                    best, share, gap = model.decode(model.margins([_words(raw[i]) for i in at]))
+                    for i, b in zip(at, best.tolist()):
+                        names[i] = model.languages[b]
+                    scores[at], vague[at] = share, gap < ambiguous_below
             found = {"lang_pred": pa.array(names, pa.string()), "score": pa.array(scores), "ambiguous": pa.array(vague)}
             yield pa.RecordBatch.from_pydict({c: batch[c] for c in carried} | found)
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLD, Numbers, as_id, keep_share, key_id, texts
+from .common import FOLD, Numbers, as_id, in_slices, keep_share, key_id, texts
 from .language_id import held_out
 
 #: Ends of sentences become a line feed, all else as in FOLD; positions stay.
@@ -147,10 +147,13 @@ def score(documents: DataFrame, model: Model, offending: float = 0.5) -> DataFra
     def run(batches):
         model = sent.value
         for batch in batches:
-            cut = [_sentences(t) for t in texts(batch["text"])]
-            ps = model.sentences([[s[2] for s in d] for d in cut])
-            found = [[{"begin": d[i][0], "end": d[i][1], "p": float(p[i])} for i in np.flatnonzero(p >= offending)] for d, p in zip(cut, ps)]
-            yield pa.RecordBatch.from_arrays([batch["doc_key"], pa.array([noisy_or(p) for p in ps], pa.float64()), pa.array(found, spans)], ["doc_key", "score", "offending"])
+            raw, ps, found = texts(batch["text"]), [], []
+            for begin, end in in_slices(raw):
+                cut = [_sentences(t) for t in raw[begin:end]]
+                for d, p in zip(cut, model.sentences([[s[2] for s in d] for d in cut])):
+                    ps.append(noisy_or(p))
+                    found.append([{"begin": d[i][0], "end": d[i][1], "p": float(p[i])} for i in np.flatnonzero(p >= offending)])
+            yield pa.RecordBatch.from_arrays([batch["doc_key"], pa.array(ps, pa.float64()), pa.array(found, spans)], ["doc_key", "score", "offending"])
 
     rows = documents.select(key_id().alias("doc_key"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_key long, score double, offending array<struct<begin: long, end: long, p: double>>")
