@@ -171,8 +171,9 @@ def _owners(rows: list[tuple[int, bytes, bytes]], window: int) -> Iterator[dict]
         code = code * _MULTIPLIER + h[start + j]
     order = np.argsort(code, kind="stable")
     same = code[order][1:] == code[order][:-1]
+    # a window counts if other entries have it too, or several documents of its own batch
     shared = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-    order = order[shared]
+    order = order[shared | (entries["least"] < entries["most"])[of[order]]]
     if not len(order):
         return
     new = np.concatenate([[True], code[order][1:] != code[order][:-1]])
