@@ -20,7 +20,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,22 +41,39 @@ def _unzip(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
-class _Vocabulary(dict):
-    """Word to dense number, with the 64-bit hash and the length of each word beside it."""
+def _random(n: int, seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1)
 
-    def __init__(self):
-        super().__init__()
-        self.hashes: list[int] = []
-        self.lengths: list[int] = []
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self)
-        self.hashes.append(xxhash.xxh64_intdigest(word, 7))
-        self.lengths.append(len(word))
-        return number
+_BYTE = _random(256, 11)
+_POWERS = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd base and of its inverse, modulo 2**64."""
+    if len(_POWERS["up"]) < n:
+        base = 0x9E3779B97F4A7C15
+        for name, x in (("up", base), ("down", pow(base, -1, 1 << 64))):
+            steps = np.full(n, x, np.uint64)
+            steps[0] = 1
+            _POWERS[name] = np.multiply.accumulate(steps)
+    return _POWERS["up"][:n], _POWERS["down"][:n]
+
+
+class _Hashes:
+    """64-bit hashes of all substrings of a buffer, from one running sum over its bytes.
+
+    Equal substrings have equal hashes wherever they stand; what has equal hashes is compared byte by
+    byte where it matters.
+    """
+
+    def __init__(self, buffer: np.ndarray):
+        up, self.down = _powers(len(buffer) + 1)
+        self.sums = np.zeros(len(buffer) + 1, np.uint64)
+        np.cumsum(_BYTE[buffer] * up[:-1], out=self.sums[1:])
+
+    def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return (self.sums[end] - self.sums[begin]) * self.down[begin]
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -80,13 +96,11 @@ class _Batch:
         self.words = [plain_words(r[1]) for r in rows]
         counts = np.array([len(w) for w in self.words], np.int64)
         self.bounds = np.concatenate([[0], np.cumsum(counts)])
-        flat = [w for words in self.words for w in words]
-        vocabulary = _Vocabulary()
-        numbers = vocabulary.numbers(flat)
-        self.joined = b" ".join(flat)
-        lengths = np.array(vocabulary.lengths, np.int64)[numbers] if flat else np.zeros(0, np.int64)
-        self.starts = np.concatenate([[0], np.cumsum(lengths + 1)])
-        self.kmers(np.array(vocabulary.hashes, np.uint64)[numbers] if flat else np.zeros(0, np.uint64), counts, minimiser)
+        self.joined = b" ".join([b" ".join(words) for words in self.words if words])
+        buffer = np.frombuffer(self.joined, np.uint8)
+        ends = np.concatenate([np.flatnonzero(buffer == 32), [len(buffer)]])[: int(self.bounds[-1])]
+        self.starts = np.concatenate([[0], ends + 1])  # one more than there are words
+        self.kmers(_Hashes(buffer).of(self.starts[:-1], ends), counts, minimiser)
 
     def kmers(self, h: np.ndarray, counts: np.ndarray, m: int) -> None:
         """first, windows, least hash, document of every super-k-mer; entry numbers of equal strings."""
@@ -153,22 +167,32 @@ class _Batch:
 
 def _owners(rows: list[tuple[int, bytes, bytes]], window: int) -> Iterator[dict]:
     """Windows of one bucket, sorted and compared; for each batch the runs that have an earlier owner."""
-    vocabulary, numbers, lengths, entries, batches = _Vocabulary(), [], [], [], []
+    entries, of, offset, code, places, found, batches = [], [], [], [], [], [], []
+    texts_, n_entries = [], 0
     for batch, packed, meta in rows:
         text = _unzip(packed)
-        numbers.append(vocabulary.numbers(text.split()))
-        lengths.append(np.array([s.count(b" ") + 1 for s in text.split(b"\n")], np.int64))
-        entries.append(np.frombuffer(_unzip(meta), _ENTRY))
-        batches.append(np.full(len(entries[-1]), batch, np.int64))
-    ids, lengths, entries, batches = (np.concatenate(x) for x in (numbers, lengths, entries, batches))
-    n_windows = lengths - window + 1
-    of = np.repeat(np.arange(len(lengths)), n_windows)
-    offset = np.arange(len(of)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
-    start = (np.cumsum(lengths) - lengths)[of] + offset
-    h = np.array(vocabulary.hashes, np.uint64)[ids]
-    code = np.zeros(len(start), np.uint64)
-    for j in range(window):
-        code = code * _MULTIPLIER + h[start + j]
+        buffer = np.frombuffer(text, np.uint8)
+        ends = np.concatenate([np.flatnonzero((buffer == 32) | (buffer == 10)), [len(buffer)]])
+        begins = np.concatenate([[0], ends[:-1] + 1])
+        own = np.frombuffer(_unzip(meta), _ENTRY)
+        last = np.concatenate([np.flatnonzero(buffer[ends[:-1]] == 10), [len(ends) - 1]])  # last word of each entry
+        n_words = np.diff(np.concatenate([[-1], last]))
+        n_windows = n_words - window + 1
+        entry = np.repeat(np.arange(len(own)), n_windows)
+        at = np.arange(len(entry)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
+        word = (last + 1 - n_words)[entry] + at
+        span = np.stack([begins[word], ends[word + window - 1]])
+        of.append(entry + n_entries)
+        offset.append(at.astype(np.int32))
+        code.append(_Hashes(buffer).of(span[0], span[1]))
+        places.append(span.astype(np.int32))
+        found.append(np.full(len(entry), len(texts_), np.int32))
+        texts_.append(text)
+        entries.append(own)
+        batches.append(np.full(len(own), batch, np.int64))
+        n_entries += len(own)
+    of, offset, code, found, entries, batches = (np.concatenate(x) for x in (of, offset, code, found, entries, batches))
+    places = np.concatenate(places, axis=1)
     order = np.argsort(code, kind="stable")
     same = code[order][1:] == code[order][:-1]
     # a window counts if other entries have it too, or several documents of its own batch
@@ -177,15 +201,12 @@ def _owners(rows: list[tuple[int, bytes, bytes]], window: int) -> Iterator[dict]
     if not len(order):
         return
     new = np.concatenate([[True], code[order][1:] != code[order][:-1]])
-    differ = np.zeros(len(order), bool)
-    for j in range(window):  # equal hashes are compared word by word
-        w = ids[start[order] + j]
-        differ[1:] |= w[1:] != w[:-1]
-    if (differ & ~new).any():  # different windows with one hash: sort by the words themselves
-        words = [ids[start[order] + j] for j in range(window)]
-        order = order[np.lexsort(words[::-1])]
-        words = [ids[start[order] + j] for j in range(window)]
-        new = np.concatenate([[True], np.any([w[1:] != w[:-1] for w in words], axis=0)])
+    windows = [texts_[t][a:b] for t, a, b in zip(found[order].tolist(), places[0][order].tolist(), places[1][order].tolist())]
+    # equal hashes are compared word for word
+    if any(not n and x != y for n, x, y in zip(new[1:].tolist(), windows, windows[1:])):
+        by_words = sorted(range(len(order)), key=windows.__getitem__)
+        order, windows = order[by_words], [windows[i] for i in by_words]
+        new = np.array([True] + [x != y for x, y in zip(windows, windows[1:])])
     owner = np.minimum.reduceat(entries["least"][of[order]], np.flatnonzero(new))[np.cumsum(new) - 1]
     late = owner < entries["most"][of[order]]
     w, owner = order[late], owner[late]

@@ -56,8 +56,8 @@ def test_columns_are_carried(spark):
 
 
 def test_hash_collisions_are_told_apart(monkeypatch):
-    """With one hash for all words every window collides; the words decide."""
-    monkeypatch.setattr(substring_dedup.xxhash, "xxh64_intdigest", lambda *a: 1)
+    """With one hash for all substrings every window collides; the words decide."""
+    monkeypatch.setattr(substring_dedup._Hashes, "of", lambda self, begin, end: np.ones(len(begin), np.uint64))
     batch = substring_dedup._Batch([1, 2, 3], [b"a b c d", b"x a b c", b"p q r s"], 3, 1)
     rows = [(p["batch"], p["packed"], p["entries"]) for p in batch.packed(0, 1)]
     runs = [np.frombuffer(substring_dedup._unzip(x["runs"]), substring_dedup._RUN) for x in substring_dedup._owners(rows, 3)]
