@@ -33,7 +33,7 @@ def texts(column) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def in_slices(raw: list[bytes | None], limit: int = 1 << 21):
+def in_slices(raw: list[bytes | None], limit: int = 1 << 19):
     """(begin, end) of runs of texts of about ``limit`` bytes: what is made of them at once stays small."""
     begin, size = 0, 0
     for i, t in enumerate(raw):

@@ -70,7 +70,10 @@ class _Hashes:
     def __init__(self, buffer: np.ndarray):
         up, self.down = _powers(len(buffer) + 1)
         self.sums = np.zeros(len(buffer) + 1, np.uint64)
-        np.cumsum(_BYTE[buffer] * up[:-1], out=self.sums[1:])
+        terms = self.sums[1:]
+        np.take(_BYTE, buffer, out=terms)
+        terms *= up[:-1]
+        np.cumsum(terms, out=terms)
 
     def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self.sums[end] - self.sums[begin]) * self.down[begin]
@@ -165,48 +168,79 @@ class _Batch:
         return np.cumsum(marks)[: int(self.bounds[-1])] > 0
 
 
-def _owners(rows: list[tuple[int, bytes, bytes]], window: int) -> Iterator[dict]:
-    """Windows of one bucket, sorted and compared; for each batch the runs that have an earlier owner."""
-    entries, of, offset, code, places, found, batches = [], [], [], [], [], [], []
-    texts_, n_entries = [], 0
-    for batch, packed, meta in rows:
-        text = _unzip(packed)
-        buffer = np.frombuffer(text, np.uint8)
-        ends = np.concatenate([np.flatnonzero((buffer == 32) | (buffer == 10)), [len(buffer)]])
-        begins = np.concatenate([[0], ends[:-1] + 1])
-        own = np.frombuffer(_unzip(meta), _ENTRY)
-        last = np.concatenate([np.flatnonzero(buffer[ends[:-1]] == 10), [len(ends) - 1]])  # last word of each entry
-        n_words = np.diff(np.concatenate([[-1], last]))
-        n_windows = n_words - window + 1
-        entry = np.repeat(np.arange(len(own)), n_windows)
-        at = np.arange(len(entry)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
+class _Packed:
+    """The distinct super-k-mers that one batch sent to a bucket, and their windows."""
+
+    def __init__(self, batch: int, packed: bytes, entries: bytes, window: int):
+        self.batch, self.window, self.text = batch, window, _unzip(packed)
+        self.entries = np.frombuffer(_unzip(entries), _ENTRY)
+
+    def places(self):
+        """Entry, number inside the entry, first and last byte of every window."""
+        buffer = np.frombuffer(self.text, np.uint8)
+        ends = np.concatenate([np.flatnonzero((buffer == 32) | (buffer == 10)), [len(buffer)]]).astype(np.int32)
+        begins = np.concatenate([[0], ends[:-1] + 1]).astype(np.int32)
+        last = np.concatenate([np.flatnonzero(buffer[ends[:-1]] == 10), [len(ends) - 1]]).astype(np.int32)  # last word of each entry
+        n_words = np.diff(last, prepend=-1)
+        n_windows = n_words - self.window + 1
+        entry = np.repeat(np.arange(len(last), dtype=np.int32), n_windows)
+        at = np.arange(len(entry), dtype=np.int32) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows).astype(np.int32)
         word = (last + 1 - n_words)[entry] + at
-        span = np.stack([begins[word], ends[word + window - 1]])
-        of.append(entry + n_entries)
-        offset.append(at.astype(np.int32))
-        code.append(_Hashes(buffer).of(span[0], span[1]))
-        places.append(span.astype(np.int32))
-        found.append(np.full(len(entry), len(texts_), np.int32))
-        texts_.append(text)
-        entries.append(own)
-        batches.append(np.full(len(own), batch, np.int64))
-        n_entries += len(own)
-    of, offset, code, found, entries, batches = (np.concatenate(x) for x in (of, offset, code, found, entries, batches))
-    places = np.concatenate(places, axis=1)
-    order = np.argsort(code, kind="stable")
-    same = code[order][1:] == code[order][:-1]
-    # a window counts if other entries have it too, or several documents of its own batch
-    shared = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-    order = order[shared | (entries["least"] < entries["most"])[of[order]]]
-    if not len(order):
+        return entry, at, begins[word], ends[word + self.window - 1]
+
+    def codes(self) -> np.ndarray:
+        _, _, begin, end = self.places()
+        return _Hashes(np.frombuffer(self.text, np.uint8)).of(begin, end)
+
+
+def _repeated(codes: np.ndarray) -> np.ndarray:
+    """Which codes are there more than once."""
+    order = np.argsort(codes)
+    same = codes[order[1:]] == codes[order[:-1]]
+    out = np.zeros(len(codes), bool)
+    out[order[1:][same]] = True
+    out[order[:-1][same]] = True
+    return out
+
+
+def _owners(rows: list[tuple[int, bytes, bytes]], window: int) -> Iterator[dict]:
+    """Windows of one bucket, sorted and compared; for each batch the runs that have an earlier owner.
+
+    Codes of all windows are held first (eight bytes each); places only of those that matter.
+    """
+    parts = [_Packed(*row, window) for row in rows]
+    codes = [p.codes() for p in parts]
+    matters = np.split(_repeated(np.concatenate(codes)), np.cumsum([len(c) for c in codes])[:-1])
+    of, offset, code, begin, end, part = [], [], [], [], [], []
+    for number, (p, c, some) in enumerate(zip(parts, codes, matters)):
+        entry, at, first, last = p.places()
+        # a window counts if other entries have it too, or several documents of its own batch
+        some = some | (p.entries["least"] < p.entries["most"])[entry]
+        for whole, x in ((of, entry), (offset, at), (code, c), (begin, first), (end, last), (part, np.full(len(entry), number, np.int32))):
+            whole.append(x[some])
+    del codes, matters
+    of, offset, code, begin, end, part = (np.concatenate(x) for x in (of, offset, code, begin, end, part))
+    if not len(of):
         return
+    starts = np.cumsum([0] + [len(p.entries) for p in parts[:-1]])
+    of = of + starts[part]
+    entries = np.concatenate([p.entries for p in parts])
+    batches = np.repeat([p.batch for p in parts], [len(p.entries) for p in parts])
+    order = np.argsort(code, kind="stable")
     new = np.concatenate([[True], code[order][1:] != code[order][:-1]])
-    windows = [texts_[t][a:b] for t, a, b in zip(found[order].tolist(), places[0][order].tolist(), places[1][order].tolist())]
+    word_lists = lambda: (parts[n].text[a:b] for n, a, b in zip(part[order].tolist(), begin[order].tolist(), end[order].tolist()))
     # equal hashes are compared word for word
-    if any(not n and x != y for n, x, y in zip(new[1:].tolist(), windows, windows[1:])):
+    before, collide = None, False
+    for fresh, words in zip(new.tolist(), word_lists()):
+        if not fresh and words != before:
+            collide = True
+            break
+        before = words
+    if collide:
+        windows = list(word_lists())
         by_words = sorted(range(len(order)), key=windows.__getitem__)
-        order, windows = order[by_words], [windows[i] for i in by_words]
-        new = np.array([True] + [x != y for x, y in zip(windows, windows[1:])])
+        order = order[by_words]
+        new = np.array([True] + [windows[i] != windows[j] for i, j in zip(by_words, by_words[1:])])
     owner = np.minimum.reduceat(entries["least"][of[order]], np.flatnonzero(new))[np.cumsum(new) - 1]
     late = owner < entries["most"][of[order]]
     w, owner = order[late], owner[late]
