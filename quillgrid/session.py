@@ -22,3 +22,16 @@ def ship(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/quillgrid", "zip", _ROOT, "quillgrid"))
         _SHIPPED.add(mark)
     return spark
+
+
+def durable(frame):
+    """The frame written to the checkpoint folder of the session: short lineage, safe from lost executors.
+
+    Sessions without such a folder (tests on one machine) get a local one.
+    """
+    spark = frame.sparkSession
+    jsc = spark.sparkContext._jsc.sc()
+    if not jsc.getCheckpointDir().isDefined():
+        folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return frame.checkpoint()
