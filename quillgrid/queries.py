@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import aggregates, business, scalars, series, statistics, tables
+from .plans import aggregates, business, display, scalars, series, statistics, tables
 
-_MODULES = (aggregates, scalars, tables, series, statistics, business)
+_MODULES = (aggregates, scalars, tables, series, statistics, business, display)
 
 
 def queries() -> dict:
