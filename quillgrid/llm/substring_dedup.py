@@ -6,6 +6,9 @@ one string to the bucket of its minimiser: equal windows have equal minimisers,
 A bucket sorts its windows, compares equal hashes word by word, and finds the smallest document of
 each window exactly.
 
+Runs of words that a bounded sample shows to be frequent come last in the order of minimisers, so that
+common phrases do not draw windows to one bucket.
+
 Plan: documents are dealt into hash batches (one shuffle of the text, used by both passes). Pass one
 sends each *distinct* super-k-mer of a batch once, with the smallest and largest document that has
 it, so a passage or copy that a third of all rows share costs one row a batch. Buckets answer, to the
@@ -24,12 +27,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, as_id, mix64, packed, partitions, plain_words, texts, type_of
+from .common import NULL_ID, as_id, keep_share, mix64, packed, partitions, plain_words, texts, type_of
 
 _PACKED = "bucket int, batch int, packed binary, entries binary"
 _ANSWER = "batch int, runs binary"
 _RUN = np.dtype([("entry", "<u4"), ("first", "<u4"), ("count", "<u4"), ("owner", "<i8")])
 _ENTRY = np.dtype([("entry", "<u4"), ("least", "<i8"), ("most", "<i8")])
+_SLOT_BITS = 20
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -88,11 +92,38 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - done)], x[width - done :]) if width > done else x
 
 
+def _word_runs(h: np.ndarray, m: int) -> np.ndarray:
+    """One mixed hash for every m consecutive word hashes."""
+    n = len(h)
+    x = h.copy()
+    for j in range(1, m):
+        x[: n - j] = x[: n - j] * _MULTIPLIER + h[j:]
+    return mix64(x[: n - m + 1])
+
+
+def _frequent_runs(documents: DataFrame, m: int, sample: int, share: float) -> np.ndarray:
+    """Hash slots of the runs of m words that make up over ``share`` of a bounded sample's runs.
+
+    A minimiser is a function of the window alone whatever the slots are, so results do not hang on
+    the sample; but with frequent runs put last, no common phrase draws a large part of all windows
+    to its bucket.
+    """
+    total = documents.count()
+    some = documents.filter(keep_share(F.col("doc_key").cast("string"), sample / max(total, 1)) & (F.octet_length("text") <= 1 << 14))
+    counts = np.zeros(1 << _SLOT_BITS, np.int64)
+    for row in some.select("text").limit(2 * sample).toLocalIterator():
+        batch = _Batch([0], [row.text.encode()], 1 << 30, m)
+        if len(batch.words[0]) >= m:
+            runs = _word_runs(batch.hashes, m) >> np.uint64(64 - _SLOT_BITS)
+            np.add.at(counts, runs, 1)
+    return counts > np.maximum(8, share * counts.sum())
+
+
 class _Batch:
     """The documents of one batch in a fixed order, and their super-k-mers."""
 
-    def __init__(self, ids, raw, window: int, minimiser: int):
-        self.window = window
+    def __init__(self, ids, raw, window: int, minimiser: int, frequent: np.ndarray | None = None):
+        self.window, self.frequent = window, frequent
         rows = sorted(zip(ids, raw, range(len(ids))), key=lambda r: (r[0], r[1] is None, r[1] or b""))
         self.order = [r[2] for r in rows]
         self.ids = np.array([r[0] for r in rows], np.int64)
@@ -103,17 +134,18 @@ class _Batch:
         buffer = np.frombuffer(self.joined, np.uint8)
         ends = np.concatenate([np.flatnonzero(buffer == 32), [len(buffer)]])[: int(self.bounds[-1])]
         self.starts = np.concatenate([[0], ends + 1])  # one more than there are words
-        self.kmers(_Hashes(buffer).of(self.starts[:-1], ends), counts, minimiser)
+        self.hashes = _Hashes(buffer).of(self.starts[:-1], ends)
+        self.kmers(self.hashes, counts, minimiser)
 
     def kmers(self, h: np.ndarray, counts: np.ndarray, m: int) -> None:
         """first, windows, least hash, document of every super-k-mer; entry numbers of equal strings."""
         k, n = self.window, len(h)
         self.first = np.zeros(0, np.int64)
         if n >= k:
-            x = h.copy()
-            for j in range(1, m):
-                x[: n - j] = x[: n - j] * _MULTIPLIER + h[j:]
-            least = _sliding_min(mix64(x[: n - m + 1]), k - m + 1)
+            x = _word_runs(h, m)
+            if self.frequent is not None:  # frequent runs come after all others
+                x = (x >> np.uint64(1)) | (self.frequent[x >> np.uint64(64 - _SLOT_BITS)].astype(np.uint64) << np.uint64(63))
+            least = _sliding_min(x, k - m + 1)
             document = np.repeat(np.arange(len(counts)), counts)
             fits = document[: n - k + 1] == document[k - 1 :]
             at = np.flatnonzero(fits)
@@ -270,7 +302,7 @@ _ANSWER_ARROW = pa.schema([("batch", pa.int32()), ("runs", pa.binary())])
 
 def remove_repeats(
     documents: DataFrame, window: int = 13, minimiser: int = 2, batches_per_partition: int = 4,
-    buckets_per_partition: int = 1, keep_text: bool = True, carry: bool = False,
+    buckets_per_partition: int = 1, keep_text: bool = True, carry: bool = False, sample: int = 2000, frequent_share: float = 5e-5,
 ) -> DataFrame:
     """``doc_key, n_words, n_removed, kept, kept_sha256`` for every row; kept: the words left, joined by
     one space, or the text as it came where none went; with carry, also ``row``, a struct of all columns but text.
@@ -291,8 +323,10 @@ def remove_repeats(
     kind = type_of(rows, "row")
     dealt = rows.withColumn("batch", F.pmod(F.xxhash64("doc_key"), F.lit(n_batches)).cast("int")).repartition(n, "batch")
 
+    frequent = spark.sparkContext.broadcast(_frequent_runs(rows, minimiser, sample, frequent_share))  # one byte a slot: 1 MB
+
     def pack(table: pa.Table) -> pa.Table:
-        batch = _Batch(table["doc_key"].to_pylist(), texts(table["text"]), window, minimiser)
+        batch = _Batch(table["doc_key"].to_pylist(), texts(table["text"]), window, minimiser, frequent.value)
         return _table(batch.packed(table["batch"][0].as_py(), n_buckets), _PACKED_ARROW)
 
     def answer(table: pa.Table) -> pa.Table:
@@ -300,7 +334,7 @@ def remove_repeats(
         return _table(_owners(rows, window), _ANSWER_ARROW)
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
-        batch = _Batch(left["doc_key"].to_pylist(), texts(left["text"]), window, minimiser)
+        batch = _Batch(left["doc_key"].to_pylist(), texts(left["text"]), window, minimiser, frequent.value)
         runs = [np.frombuffer(_unzip(r), _RUN) for r in right["runs"].to_pylist()]
         gone = batch.removed(np.concatenate(runs) if runs else np.zeros(0, _RUN))
         n_removed, kept, sha = [], [], []

@@ -9,6 +9,7 @@ the library's in either tier, so counts do not depend on it.
 from __future__ import annotations
 
 from collections import Counter
+from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -35,7 +36,8 @@ def _tokenizer(path: str):
     return _LOADED[path]
 
 
-def _odd_characters(path: str) -> str:
+@lru_cache(1)
+def _odd_characters() -> str:
     """A pattern of the characters that the library's Unicode tables and ours see differently.
 
     Planes that have no characters yet count as different without a look.
@@ -107,7 +109,7 @@ def count_tokens(documents: DataFrame, path: str, sample: int = 2000, table: int
         raise ValueError("a tokenizers .json file is asked for")
     spark = documents.sparkSession
     documents = documents.select("doc_id", F.col("text").cast("string").alias("text"))
-    sent = spark.sparkContext.broadcast((*_frequent(documents, path, sample, table), _odd_characters(path)))
+    sent = spark.sparkContext.broadcast((*_frequent(documents, path, sample, table), _odd_characters()))
 
     def run(batches):
         joined, counts, odd = sent.value
