@@ -69,7 +69,7 @@ def result(value: Column, *cells: Cell, fails: list[tuple[Column, str]] = ()) ->
 
 def bad(x: Column) -> Column:
     """Neither a number nor finite."""
-    return x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))
+    return ~F.coalesce(F.abs(x) < F.lit(float("inf")), F.lit(False))  # NaN is above infinity
 
 
 def truthy(x: Any) -> Cell:

@@ -220,8 +220,8 @@ SQL = {
     "snapshot_diff": """SELECT CASE WHEN gone OR (col = 0 AND c_custkey % 7 = 0) THEN 'removed' ELSE 'changed' END AS kind, col AS column, count(*) AS n FROM (SELECT c_custkey, c_custkey % 50 = 0 AS gone, c.c::INTEGER AS col FROM customer, range(0, 3) AS c(c))
         WHERE gone OR (col = 0 AND c_custkey % 7 = 0) OR (col = 1 AND c_custkey % 9 = 0) GROUP BY 1, 2""",
     "range_total": "SELECT round(sum(p_size) + sum(p_retailprice), 2) AS total, 2 * count(*) AS n, least(min(p_size), min(p_retailprice)) AS least, greatest(max(p_size), max(p_retailprice)) AS greatest FROM part WHERE p_partkey BETWEEN 100 AND 1500",
-    "what_if": """SELECT r_regionkey, 'table' AS scenario, round((r_regionkey * 1000 + 1000) * (1 - d.d) * (1 + t.t), 4) AS net FROM region, (VALUES (0), (0.1), (0.2)) AS d(d), (VALUES (0.05), (0.07)) AS t(t)
-        UNION ALL SELECT r_regionkey, s.n, round((r_regionkey * 1000 + 1000) * (1 - s.d) * (1 + s.t), 4) FROM region, (VALUES ('low', 0.3, 0.05), ('high', 0.0, 0.1)) AS s(n, d, t)""",
+    "what_if": """SELECT r_regionkey, 'table' AS scenario, round((r_regionkey * 1000 + 1000)::DOUBLE * (1 - d.d) * (1 + t.t), 4) AS net FROM region, (VALUES (0), (0.1), (0.2)) AS d(d), (VALUES (0.05), (0.07)) AS t(t)
+        UNION ALL SELECT r_regionkey, s.n, round((r_regionkey * 1000 + 1000)::DOUBLE * (1 - s.d) * (1 + s.t), 4) FROM region, (VALUES ('low', 0.3, 0.05), ('high', 0.0, 0.1)) AS s(n, d, t)""",
     "goal_seek": "SELECT c_custkey, 1.0::DOUBLE AS share FROM customer",
     "vectors": """SELECT vec_id, round(sqrt(list_dot_product(v, v)), 5) AS length, round(list_dot_product(v, list_reverse(v)), 5) AS with_reverse, round(pi(), 5) AS angle FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)""",
     "gram_matrix": "SELECT CAST(i - 1 AS INTEGER) AS i, " + ", ".join(f"round(sum(v[i] * v[{j + 1}]), 5) AS j{j}" for j in range(8)) + " FROM (SELECT embedding::DOUBLE[] AS v FROM embeddings), range(1, 65) AS r(i) GROUP BY 1",

@@ -156,10 +156,10 @@ SQL = {
         nullif(instr(p_name, 'e'), 0)::DOUBLE AS found, CASE WHEN instr(p_name, 'e') = 0 THEN '#VALUE!' END AS found_code, nullif(instr(upper(p_name), 'E'), 0)::DOUBLE AS searched, repeat(left(p_name, 1), 3) AS thrice,
         p_name = lower(p_name) AS same, p_name || '-' || p_brand AS joined, ascii(p_name)::DOUBLE AS code, chr(p_size + 40) AS sign, p_name AS clean FROM part""",
     "text_parts": """SELECT p_partkey, CASE WHEN contains(p_type, ' ') THEN split_part(p_type, ' ', 1) END AS before_1, CASE WHEN contains(p_type, ' ') THEN substr(p_type, instr(p_type, ' ') + 1) END AS after_1,
-        CASE WHEN contains(p_type, ' ') THEN split_part(p_type, ' ', -1) END AS last_part, '#N/A' AS missing, len(string_split(p_type, ' ')) AS parts,
+        CASE WHEN contains(p_type, ' ') THEN split_part(p_type, ' ', -1) END AS last_part, '#N/A' AS missing, len(string_split(p_type, ' '))::INTEGER AS parts,
         CASE WHEN len(string_split(p_type, ' ')) > 2 THEN split_part(p_type, ' ', 1) || ' ' || split_part(p_type, ' ', 2) || '/' || array_to_string(string_split(p_type, ' ')[3:], ' ') ELSE p_type END AS second,
         p_type || '+' || p_brand AS joined, array_to_string([upper(x[1]) || lower(x[2:]) for x in string_split(p_type, ' ')], ' ') AS proper, 12 AS padded,
-        levenshtein(p_type, p_brand) AS distance, round(1 - levenshtein(p_type, p_brand) / greatest(length(p_type), length(p_brand)), 4) AS likeness FROM part""",
+        levenshtein(p_type, p_brand)::INTEGER AS distance, round(1 - levenshtein(p_type, p_brand) / greatest(length(p_type), length(p_brand)), 4) AS likeness FROM part""",
     "number_text": """SELECT c_custkey, c_custkey + 0.5::DOUBLE AS value, '#VALUE!' AS value_code,
         CASE WHEN c_acctbal < 0 THEN '-' ELSE '' END || '$' || format('{:,.2f}', abs(floor(c_acctbal))) AS dollars, format('{:.1f}', floor(c_acctbal)) AS fixed,
         lpad(upper(to_hex(c_custkey)), 6, '0') AS hex, c_custkey::DOUBLE AS back,
@@ -168,14 +168,14 @@ SQL = {
     "roman_round_trip": "SELECT c_custkey, (c_custkey % 3999 + 1)::DOUBLE AS number, '#NUM!' AS refused FROM customer",
     "check_digits": """SELECT o_orderkey, CAST((10 - list_sum([CASE WHEN (9 - i) % 2 = 0 THEN (ascii(s[i]) - 48) * 2 // 10 + (ascii(s[i]) - 48) * 2 % 10 ELSE ascii(s[i]) - 48 END for i in range(1, 10)]) % 10) % 10 AS INTEGER) AS digit, true AS valid, false AS invalid
         FROM (SELECT o_orderkey, lpad(o_orderkey::VARCHAR, 9, '0') AS s FROM orders)""",
-    "date_parts": f"""SELECT event_id, date_diff('day', {_E0}, {_DAY}) AS serial, year(ts)::DOUBLE AS y, month(ts)::DOUBLE AS m, day(ts)::DOUBLE AS day, (dayofweek(ts) + 1)::DOUBLE AS wd1, isodow(ts)::DOUBLE AS wd2, (isodow(ts) - 1)::DOUBLE AS wd3,
+    "date_parts": f"""SELECT event_id, date_diff('day', {_E0}, {_DAY})::INTEGER AS serial, year(ts)::DOUBLE AS y, month(ts)::DOUBLE AS m, day(ts)::DOUBLE AS day, (dayofweek(ts) + 1)::DOUBLE AS wd1, isodow(ts)::DOUBLE AS wd2, (isodow(ts) - 1)::DOUBLE AS wd3,
         ((dayofyear(ts) - 1) // 7 + 1)::DOUBLE AS week, weekofyear(ts)::DOUBLE AS iso, quarter(ts)::DOUBLE AS q, date_diff('day', {_E0}, {_DAY})::DOUBLE AS again, dayname(ts) AS day_name, strftime(ts, '%Y-%m-%d') AS shown FROM events""",
     "date_shifts": f"""SELECT event_id, date_diff('day', {_E0}, CAST(a + to_months(k) AS DATE))::DOUBLE AS edate, date_diff('day', {_E0}, last_day(a + to_months(k - 13)))::DOUBLE AS eomonth, k::DOUBLE AS days, round(k * 10 / 365, 6) AS yearfrac,
         (SELECT count(*) FROM range(0, k + 1) AS r(i) WHERE isodow(a + r.i::INTEGER) <= 5)::DOUBLE AS netdays,
         ((year(b) - year(a)) * 12 + month(b) - month(a) - CASE WHEN day(b) < day(a) THEN 1 ELSE 0 END)::DOUBLE AS months, (k * 31)::DOUBLE AS dd, '#NUM!' AS reversed,
         ((year(b) - year(a)) * 360 + (month(b) - month(a)) * 30 + CASE WHEN day(b) = 31 AND day(a) >= 30 THEN 30 ELSE day(b) END - least(day(a), 30))::DOUBLE AS d360, '#NUM!' AS too_early
         FROM (SELECT event_id, {_DAY} AS a, {_DAY} + {_K} * 31 AS b, {_K} AS k FROM events)""",
-    "workdays": f"""SELECT event_id, date_diff('day', {_E0}, a) AS serial, CASE WHEN k = 0 THEN date_diff('day', {_E0}, a)
+    "workdays": f"""SELECT event_id, date_diff('day', {_E0}, a)::INTEGER AS serial, CASE WHEN k = 0 THEN date_diff('day', {_E0}, a)
         WHEN k > 0 THEN (SELECT date_diff('day', {_E0}, a) + i FROM (SELECT r.i, count(*) OVER (ORDER BY r.i) AS n FROM range(1, 40) AS r(i) WHERE isodow(a + r.i::INTEGER) <= 5) WHERE n = k)
         ELSE (SELECT date_diff('day', {_E0}, a) - i FROM (SELECT r.i, count(*) OVER (ORDER BY r.i) AS n FROM range(1, 40) AS r(i) WHERE isodow(a - r.i::INTEGER) <= 5) WHERE n = -k) END::DOUBLE AS workday,
         (SELECT count(*) FROM range(0, 31) AS r(i) WHERE isodow(a + r.i::INTEGER) NOT IN (5, 6) AND date_diff('day', {_E0}, a) + r.i NOT IN (8790, 8800)) AS custom
@@ -189,7 +189,7 @@ SQL = {
     "whole_numbers": """SELECT p_partkey, gcd(p_size, p_partkey)::DOUBLE AS gcd, lcm(p_size, 12)::DOUBLE AS lcm, factorial(p_size % 15)::DOUBLE AS fact, CASE WHEN p_size >= 3 THEN (p_size * (p_size - 1) * (p_size - 2) / 6)::DOUBLE END AS combin, '#NUM!' AS combin_code,
         ltrim(bin((p_size - 25 + 1024) % 1024)::VARCHAR, '') AS bin, upper(to_hex((p_size - 25 + 1024) % 1024)) AS hex, CASE WHEN p_size >= 8 THEN (p_size // 8)::VARCHAR ELSE '' END || (p_size % 8)::VARCHAR AS oct,
         (p_size - 25 + CASE WHEN p_size < 25 THEN 1024 ELSE 0 END)::DOUBLE AS back, (p_size & 12)::DOUBLE AS band, (p_size | 12)::DOUBLE AS bor, xor(p_size, 12)::DOUBLE AS bxor,
-        p_size IN (2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37, 41, 43, 47) AS prime, round(p_size * 1.609344, 4) AS km, round((p_size - 32) * 5 / 9, 4) AS celsius, '#N/A' AS unit_code FROM part""",
+        p_size IN (2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37, 41, 43, 47) AS prime, round(p_size * 1.609344::DOUBLE, 4) AS km, round((p_size - 32) * 5 / 9, 4) AS celsius, '#N/A' AS unit_code FROM part""",
     "factors": "SELECT p_partkey, p_partkey::DOUBLE AS product FROM part WHERE p_partkey > 1",
     "logic_scalars": """SELECT l_orderkey, l_partkey, l_linenumber, CASE WHEN q > 25 THEN 'big' ELSE 'small' END AS size, CASE WHEN q < 10 THEN 's' WHEN q < 30 THEN 'm' END AS ifs, CASE WHEN q >= 30 THEN '#N/A' END AS ifs_code, CASE f WHEN 'A' THEN 1 WHEN 'R' THEN 2 ELSE 3 END AS switched,
         ['x', 'y', 'z'][CAST(q % 3 AS INTEGER) + 1] AS chosen, q > 5 AND f = 'N' AS both, q > 45 OR f = 'R' AS either, (q > 25) <> (f = 'N') AS one, NOT q > 25 AS negated, round(CASE WHEN q = 25 THEN -1 ELSE l_extendedprice / (q - 25) END, 8) AS safe, q = 25 AS failed,

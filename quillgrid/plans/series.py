@@ -153,7 +153,7 @@ def holt(spark, d):
     return out.select("user_id", *[rounded(c(x), x) for x in ("level", "trend", "forecast")])
 
 
-_ISLANDS = """SELECT o_custkey, min(s) AS "start", max(e) AS "end" FROM (SELECT *, sum(new) OVER (PARTITION BY o_custkey ORDER BY s, e, o_orderkey) AS island FROM (
+_ISLANDS = """SELECT o_custkey, min(s)::INTEGER AS "start", max(e) AS "end" FROM (SELECT *, sum(new) OVER (PARTITION BY o_custkey ORDER BY s, e, o_orderkey) AS island FROM (
     SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY o_custkey ORDER BY s, e, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM (
     SELECT o_orderkey, o_custkey, date_diff('day', DATE '1990-01-01', o_orderdate::DATE) AS s, date_diff('day', DATE '1990-01-01', o_orderdate::DATE) + o_orderkey % 60 + 1 AS e FROM orders))) GROUP BY o_custkey, island"""
 _RUNS = """SELECT user_id, run, any_value(event_type) AS value, count(*) AS length FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS run FROM (
@@ -180,7 +180,7 @@ SQL = {
     "run_length": _RUNS,
     "runs_expanded": "SELECT user_id, event_type AS value, count(*) AS n FROM events GROUP BY 1, 2",
     "intervals_merge": _ISLANDS,
-    "intervals_gaps": f"""SELECT o_custkey, "end" AS gap_start, nxt AS gap_end FROM (SELECT *, lead("start") OVER (PARTITION BY o_custkey ORDER BY "start") AS nxt FROM ({_ISLANDS})) WHERE nxt IS NOT NULL""",
+    "intervals_gaps": f"""SELECT o_custkey, "end" AS gap_start, nxt::INTEGER AS gap_end FROM (SELECT *, lead("start") OVER (PARTITION BY o_custkey ORDER BY "start") AS nxt FROM ({_ISLANDS})) WHERE nxt IS NOT NULL""",
     "intervals_conflicts": """WITH i AS (SELECT o_orderkey, o_custkey, date_diff('day', DATE '1990-01-01', o_orderdate::DATE) AS s, date_diff('day', DATE '1990-01-01', o_orderdate::DATE) + o_orderkey % 60 + 1 AS e FROM orders)
         SELECT a.o_orderkey, count(b.o_orderkey) AS overlaps FROM i a LEFT JOIN i b ON a.o_custkey = b.o_custkey AND a.o_orderkey <> b.o_orderkey AND a.s < b.e AND b.s < a.e GROUP BY 1""",
     "hist_equal_width": """SELECT b AS bin, round(lo + b * w, 3) AS low, round(lo + (b + 1) * w, 3) AS high, count(*) AS n FROM (SELECT lo, w, least(floor((o_totalprice - lo) / w), 19)::INTEGER AS b
