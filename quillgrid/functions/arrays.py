@@ -144,3 +144,37 @@ def poisson_pmf(k: Column, rate: float) -> Column:
 
 def poisson_cdf(k: Column, rate: float) -> Column:
     return _sum(F.transform(F.sequence(F.lit(0), F.greatest(k.cast("int"), F.lit(0))), lambda i: poisson_pmf(i, rate)))
+
+
+def map_cells(grid: Column, f) -> Column:
+    """f of every cell of an array of rows."""
+    return F.transform(grid, lambda r: F.transform(r, f))
+
+
+def by_row(grid: Column, f) -> Column:
+    return F.transform(grid, f)
+
+
+def by_column(grid: Column, f) -> Column:
+    return F.transform(transpose(grid), f)
+
+
+def reduce_cells(grid: Column, start: Column, f) -> Column:
+    """Row by row, left to right."""
+    return F.aggregate(F.flatten(grid), start, f)
+
+
+def scan(values: Column, start: Column, f) -> Column:
+    """All the steps of a reduction."""
+    steps = F.aggregate(values, F.array(start), lambda a, x: F.concat(a, F.array(f(F.element_at(a, -1), x))))
+    return F.slice(steps, F.lit(2), F.greatest(F.size(steps) - 1, F.lit(0)))
+
+
+def make_array(rows: int, columns: int, f) -> Column:
+    """f(row, column), from 1."""
+    return F.transform(F.sequence(F.lit(1), F.lit(rows)), lambda i: F.transform(F.sequence(F.lit(1), F.lit(columns)), lambda j: f(i, j)))
+
+
+def bit_set(members: Column) -> Column:
+    """A set of small whole numbers as a sorted array; unions, intersections and differences are Spark's."""
+    return F.array_sort(F.array_distinct(F.filter(members, lambda x: x >= 0)))
