@@ -119,7 +119,7 @@ def train(documents: list[list[list[bytes]]], y: np.ndarray, dims: int, rounds:
     return Model(weights.astype(np.float32), float(bias))
 
 
-def fit(documents: DataFrame, labels: DataFrame, per_class: int = 2500, dims: int = 1 << 18, rounds: int = 160) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, per_class: int = 2000, dims: int = 1 << 18, rounds: int = 160) -> Model:
     """Fit on documents joined to labels (doc_id, toxic), about ``per_class`` of each class (expected size of the sample).
 
     Whole texts are used; those over 128 KB are left out of the fit. Without a label of either class
