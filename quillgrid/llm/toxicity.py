@@ -2,7 +2,8 @@
 
 A sentence's log-odds are a bias plus the weights of its words (the word and its beginnings, hashed).
 A document is toxic unless none of its sentences is: P = 1 - prod(1 - p). Only documents have labels;
-the gradient through the noisy-or finds the sentences that explain them, and these are reported.
+the gradient through the noisy-or finds the sentences that explain them, and these are reported. When
+scoring, the base rate that the bias gives to every sentence is taken off first.
 """
 
 from __future__ import annotations
@@ -25,11 +26,11 @@ _CHUNK = 1 << 18
 
 
 def _sentences(text: bytes | None) -> list[tuple[int, int, list[bytes]]]:
-    """(begin, end, words) of every sentence with a word, as byte offsets into the text."""
+    """(begin, end, distinct words) of every sentence with a word, as byte offsets into the text."""
     out, at = [], 0
     for part in text.translate(_ENDS).split(b"\n") if text else ():
         if words := part.split():
-            out.append((at, at + len(part), words))
+            out.append((at, at + len(part), list(dict.fromkeys(words))))
         at += len(part) + 1
     return out
 
@@ -49,7 +50,7 @@ class Model:
     bias: float
 
     def sentences(self, documents: list[list[list[bytes]]]) -> list[np.ndarray]:
-        """The probability of each sentence of each document."""
+        """The probability of each sentence of each document, beyond the base rate of sentences."""
         out: list[np.ndarray] = []
         at = 0
         while at < len(documents):
@@ -64,7 +65,8 @@ class Model:
             if len(numbers):
                 value = self.weights[_features(list(known), len(self.weights))].sum(1, dtype=np.float64)
                 z = np.add.reduceat(value[numbers], np.cumsum(sizes) - sizes) + self.bias
-                p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+                # less the base rate, which a long text's many plain sentences would add up
+                p = np.maximum(1 / (1 + np.exp(-np.clip(z, -40, 40))) - 1 / (1 + np.exp(-np.clip(self.bias, -40, 40))), 0)
             cuts = np.cumsum([len(d) for d in documents[at:upto]])[:-1]
             out += np.split(p, cuts)
             at = upto
@@ -75,7 +77,7 @@ def noisy_or(p: np.ndarray) -> float:
     return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())) if len(p) else 0.0
 
 
-def train(documents: list[list[list[bytes]]], y: np.ndarray, dims: int, rounds: int, prior: float, sparse: float = 0.09) -> Model:
+def train(documents: list[list[list[bytes]]], y: np.ndarray, dims: int, rounds: int, prior: float, sparse: float = 0.06) -> Model:
     """Gradient steps through the noisy-or, with soft thresholding: most words keep no weight at all.
 
     prior: the share of toxic documents; sparse: the threshold as a multiple of a chance gradient.
