@@ -321,7 +321,9 @@ def remove_repeats(
     if not carry:
         rows = rows.withColumn("row", F.lit(None).cast("boolean"))
     kind = type_of(rows, "row")
-    dealt = rows.withColumn("batch", F.pmod(F.xxhash64("doc_key"), F.lit(n_batches)).cast("int")).repartition(n, "batch")
+    dealt = rows.withColumn("batch", F.pmod(F.xxhash64("doc_key"), F.lit(n_batches)).cast("int"))
+    # by number, so that each partition has as many batches and buckets as any other
+    dealt = dealt.repartitionById(n, "batch")
 
     frequent = spark.sparkContext.broadcast(_frequent_runs(rows, minimiser, sample, frequent_share))  # one byte a slot: 1 MB
 
@@ -351,7 +353,8 @@ def remove_repeats(
             "kept_sha256": sha,
         })
 
-    answers = dealt.groupBy("batch").applyInArrow(pack, _PACKED).groupBy("bucket").applyInArrow(answer, _ANSWER)
+    packed_rows = dealt.groupBy("batch").applyInArrow(pack, _PACKED).repartitionById(n, "bucket")
+    answers = packed_rows.groupBy("bucket").applyInArrow(answer, _ANSWER).repartitionById(n, "batch")
     schema = f"doc_key long, row {kind}, n_words long, n_removed long, kept string, kept_sha256 string"
     return dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(apply, schema)
 
