@@ -125,7 +125,8 @@ def links(codes: DataFrame, radius: int = 4, spare: int = 1) -> DataFrame:
     """
     parts = radius + spare
     pieces = _blocks(parts)
-    n_buckets = 4 * partitions(codes.sparkSession)
+    n_partitions = partitions(codes.sparkSession)
+    n_buckets = 4 * n_partitions
 
     def shards(batches):
         for batch in batches:
@@ -152,8 +153,8 @@ def links(codes: DataFrame, radius: int = 4, spare: int = 1) -> DataFrame:
         child = np.flatnonzero(label != np.arange(len(label)))
         return pa.table({"fp_a": fp[child], "fp_b": fp[label[child]]})
 
-    exploded = codes.select("fp").mapInArrow(shards, "bucket long, shard long, fp long")
-    return exploded.groupBy("bucket").applyInArrow(join, "fp_a long, fp_b long").distinct()
+    exploded = codes.select("fp").mapInArrow(shards, "bucket long, shard long, fp long").withColumn("bucket", F.col("bucket").cast("int"))
+    return exploded.repartitionById(n_partitions, "bucket").groupBy("bucket").applyInArrow(join, "fp_a long, fp_b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
