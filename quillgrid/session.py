@@ -13,6 +13,18 @@ _ROOT = Path(__file__).resolve().parent.parent
 _SHIPPED: set[str] = set()
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """The session with this package on its executors, and with a limit that wide projections need.
+
+    Methods over 8,000 bytes of byte code are never compiled by the JVM; with the limit at that size
+    Spark takes the path that splits them instead (a projection of 20 functions: 13 s to 2 s).
+    """
+    name = "spark.sql.codegen.hugeMethodLimit"
+    if int(spark.conf.get(name)) > 8000:
+        spark.conf.set(name, "8000")
+    return ship(spark)
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Send this package to the executors once per application, unless their path has it already."""
     if str(_ROOT) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
