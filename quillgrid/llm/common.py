@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
@@ -46,6 +47,15 @@ def in_slices(raw: list[bytes | None], limit: int = 1 << 19):
         yield begin, len(raw)
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system: a worker process outlives its tasks, and its heap with it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def plain_words(text: bytes | None) -> list[bytes]:
     """Words [^ \\t\\n\\v\\f\\r]+ of a text; none for null."""
     return text.split() if text else []

@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLD, Numbers, as_id, in_slices, keep_share, packed, texts, type_of
+from .common import FOLD, Numbers, as_id, give_back, in_slices, keep_share, packed, texts, type_of
 
 _LETTER = regex.compile(r"\p{L}")
 _CHUNK = 1 << 18
@@ -174,6 +174,7 @@ def predict(documents: DataFrame, model: Model | None, ambiguous_below: float =
                     scores[at], vague[at] = share, gap < ambiguous_below
             found = {"lang_pred": pa.array(names, pa.string()), "score": pa.array(scores), "ambiguous": pa.array(vague)}
             yield pa.RecordBatch.from_pydict({c: batch[c] for c in carried} | found)
+            give_back()
 
     rows = packed(documents)
     if not carry:

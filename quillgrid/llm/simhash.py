@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_id, key_id, materialise, packed, partitions, texts, unpacked
+from .common import as_id, give_back, key_id, materialise, packed, partitions, texts, unpacked
 
 SEED = 42
 _CHUNK = 1 << 16
@@ -50,6 +50,7 @@ def fingerprints(documents: DataFrame, shingle: int = 4) -> DataFrame:
         for batch in batches:
             prints = np.array([_fingerprint(t, shingle) for t in texts(batch["text"])], np.uint64)
             yield pa.RecordBatch.from_arrays([batch["doc_key"], pa.array(prints.view(np.int64))], ["doc_key", "fp"])
+            give_back()
 
     rows = documents.select(key_id().alias("doc_key"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_key long, fp long")

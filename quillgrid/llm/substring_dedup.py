@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, as_id, keep_share, mix64, packed, partitions, plain_words, texts, type_of
+from .common import NULL_ID, as_id, give_back, keep_share, mix64, packed, partitions, plain_words, texts, type_of
 
 _PACKED = "bucket int, batch int, packed binary, entries binary"
 _ANSWER = "batch int, runs binary"
@@ -50,18 +50,19 @@ def _random(n: int, seed: int) -> np.ndarray:
 
 
 _BYTE = _random(256, 11)
-_POWERS = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+_STRIDE = 1 << 11
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of an odd base and of its inverse, modulo 2**64."""
-    if len(_POWERS["up"]) < n:
-        base = 0x9E3779B97F4A7C15
-        for name, x in (("up", base), ("down", pow(base, -1, 1 << 64))):
-            steps = np.full(n, x, np.uint64)
-            steps[0] = 1
-            _POWERS[name] = np.multiply.accumulate(steps)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+def _powers(x: int, n: int) -> np.ndarray:
+    """The first n powers of x, modulo 2**64."""
+    steps = np.full(max(n, 1), x % (1 << 64), np.uint64)
+    steps[0] = 1
+    return np.multiply.accumulate(steps)
+
+
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_UP, _DOWN = _powers(_BASE, _STRIDE), _powers(_INVERSE, _STRIDE)
 
 
 class _Hashes:
@@ -72,15 +73,23 @@ class _Hashes:
     """
 
     def __init__(self, buffer: np.ndarray):
-        up, self.down = _powers(len(buffer) + 1)
-        self.sums = np.zeros(len(buffer) + 1, np.uint64)
+        n = len(buffer)
+        rows, rest = divmod(n, _STRIDE)
+        # a power is one of few fine steps times one of few coarse ones
+        coarse = _powers(pow(_BASE, _STRIDE, 1 << 64), rows + 1)
+        self.down = _powers(pow(_INVERSE, _STRIDE, 1 << 64), rows + 1)
+        self.sums = np.zeros(n + 1, np.uint64)
         terms = self.sums[1:]
         np.take(_BYTE, buffer, out=terms)
-        terms *= up[:-1]
+        square = terms[: n - rest].reshape(rows, _STRIDE)
+        square *= _UP
+        square *= coarse[:rows, None]
+        terms[n - rest :] *= _UP[:rest] * coarse[rows]
         np.cumsum(terms, out=terms)
 
     def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self.sums[end] - self.sums[begin]) * self.down[begin]
+        down = self.down[begin // _STRIDE] * _DOWN[begin % _STRIDE]
+        return (self.sums[end] - self.sums[begin]) * down
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -113,7 +122,7 @@ def _frequent_runs(documents: DataFrame, m: int, sample: int, share: float) -> n
     counts = np.zeros(1 << _SLOT_BITS, np.int64)
     for row in some.select("text").limit(2 * sample).toLocalIterator():
         batch = _Batch([0], [row.text.encode()], 1 << 30, m)
-        if len(batch.words[0]) >= m:
+        if len(batch.hashes) >= m:
             runs = _word_runs(batch.hashes, m) >> np.uint64(64 - _SLOT_BITS)
             np.add.at(counts, runs, 1)
     return counts > np.maximum(8, share * counts.sum())
@@ -127,10 +136,15 @@ class _Batch:
         rows = sorted(zip(ids, raw, range(len(ids))), key=lambda r: (r[0], r[1] is None, r[1] or b""))
         self.order = [r[2] for r in rows]
         self.ids = np.array([r[0] for r in rows], np.int64)
-        self.words = [plain_words(r[1]) for r in rows]
-        counts = np.array([len(w) for w in self.words], np.int64)
+        counts, lines = np.zeros(len(rows), np.int64), []
+        for i, r in enumerate(rows):
+            if words := plain_words(r[1]):
+                counts[i] = len(words)
+                lines.append(b" ".join(words))
+        del rows
         self.bounds = np.concatenate([[0], np.cumsum(counts)])
-        self.joined = b" ".join([b" ".join(words) for words in self.words if words])
+        self.joined = b" ".join(lines)
+        del lines
         buffer = np.frombuffer(self.joined, np.uint8)
         ends = np.concatenate([np.flatnonzero(buffer == 32), [len(buffer)]])[: int(self.bounds[-1])]
         self.starts = np.concatenate([[0], ends + 1])  # one more than there are words
@@ -329,11 +343,17 @@ def remove_repeats(
 
     def pack(table: pa.Table) -> pa.Table:
         batch = _Batch(table["doc_key"].to_pylist(), texts(table["text"]), window, minimiser, frequent.value)
-        return _table(batch.packed(table["batch"][0].as_py(), n_buckets), _PACKED_ARROW)
+        out = _table(batch.packed(table["batch"][0].as_py(), n_buckets), _PACKED_ARROW)
+        del batch
+        give_back()
+        return out
 
     def answer(table: pa.Table) -> pa.Table:
         rows = list(zip(*(table[c].to_pylist() for c in ("batch", "packed", "entries"))))
-        return _table(_owners(rows, window), _ANSWER_ARROW)
+        out = _table(_owners(rows, window), _ANSWER_ARROW)
+        del rows
+        give_back()
+        return out
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
         batch = _Batch(left["doc_key"].to_pylist(), texts(left["text"]), window, minimiser, frequent.value)
@@ -341,14 +361,16 @@ def remove_repeats(
         gone = batch.removed(np.concatenate(runs) if runs else np.zeros(0, _RUN))
         n_removed, kept, sha = [], [], []
         raw = texts(left["text"])
-        for words, a, at in zip(batch.words, batch.bounds.tolist(), batch.order):
-            out = gone[a : a + len(words)]
+        batch.joined, batch.strings, batch.hashes, batch.starts = b"", [], None, None
+        give_back()
+        for a, b, at in zip(batch.bounds.tolist(), batch.bounds[1:].tolist(), batch.order):
+            out, words = gone[a:b], plain_words(raw[at])
             n_removed.append(int(out.sum()))
             text = b" ".join([w for w, x in zip(words, out.tolist()) if not x] if n_removed[-1] else words)
             kept.append(text if n_removed[-1] else raw[at])
             sha.append(hashlib.sha256(text).hexdigest())
         return pa.table({
-            "doc_key": batch.ids, "row": left["row"].take(pa.array(batch.order, pa.int64())), "n_words": np.array([len(w) for w in batch.words], np.int64),
+            "doc_key": batch.ids, "row": left["row"].take(pa.array(batch.order, pa.int64())), "n_words": np.diff(batch.bounds),
             "n_removed": np.array(n_removed, np.int64), "kept": pa.array(kept, pa.binary()).cast(pa.string()) if keep_text else pa.nulls(len(kept), pa.string()),
             "kept_sha256": sha,
         })
