@@ -17,8 +17,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the document with the smallest id stays."""
-    return simhash.keep_one(docs, shingle=4, radius=4)
+    """Of each component of near duplicates the document with the smallest id stays, also where ids are null or repeat."""
+    return simhash.keep_each(docs, shingle=4, radius=4)
 
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_id, give_back, key_id, materialise, packed, partitions, texts, unpacked
@@ -43,17 +43,25 @@ def _fingerprint(text: bytes | None, size: int) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
-def fingerprints(documents: DataFrame, shingle: int = 4) -> DataFrame:
-    """doc_key, fp (the 64 bits as a signed long) of every row; null and empty texts have 0."""
+def _mark() -> Column:
+    """What tells texts apart: their MD5, and nothing for null."""
+    return F.coalesce(F.unhex(F.md5("text")), F.lit(b""))
+
+
+def fingerprints(documents: DataFrame, shingle: int = 4, marked: bool = False) -> DataFrame:
+    """doc_key, fp (the 64 bits as a signed long) of every row; null and empty texts have 0. With marked, also mark."""
 
     def run(batches):
         for batch in batches:
             prints = np.array([_fingerprint(t, shingle) for t in texts(batch["text"])], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch["doc_key"], pa.array(prints.view(np.int64))], ["doc_key", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), pa.array(prints.view(np.int64))], [*kept, "fp"])
             give_back()
 
     rows = documents.select(key_id().alias("doc_key"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_key long, fp long")
+    kept, schema = ["doc_key"], "doc_key long, fp long"
+    if marked:
+        rows, kept, schema = rows.withColumn("mark", _mark()), ["doc_key", "mark"], "doc_key long, mark binary, fp long"
+    return rows.mapInArrow(run, schema)
 
 
 class BKForest:
@@ -177,17 +185,21 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def labelled(documents: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
-    """doc_key, fp, component (the smallest doc_key reachable) of every row."""
-    prints = materialise(fingerprints(documents, shingle), "fingerprints")
+def labelled(documents: DataFrame, shingle: int = 4, radius: int = 4, marked: bool = False) -> DataFrame:
+    """doc_key, fp, component (the smallest doc_key reachable), root (the smallest fp reachable) of every row.
+
+    Components may share their smallest doc_key, where ids repeat or are null; they never share a root.
+    With marked, mark is there too.
+    """
+    prints = materialise(fingerprints(documents, shingle, marked), "fingerprints")
     codes = materialise(prints.groupBy("fp").agg(F.min("doc_key").alias("least")), "codes")
     spare = 1 if codes.count() < 1 << 25 else 2  # longer shard keys for more codes; the links are the same
     edges = links(codes, radius, spare)
     roots = components(edges.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")))
     members = codes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = members.groupBy("root").agg(F.min("least").alias("component"))
-    labels = members.join(least, "root").select("fp", "component")
-    return prints.join(labels, "fp").select("doc_key", "fp", "component")
+    labels = members.join(least, "root").select("fp", "component", "root")
+    return prints.join(labels, "fp").select("doc_key", "fp", "component", "root", *(["mark"] if marked else []))
 
 
 def near_duplicates(documents: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
@@ -205,7 +217,21 @@ def near_duplicates(documents: DataFrame, shingle: int = 4, radius: int = 4) ->
 
 
 def keep_one(documents: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
-    """The rows and columns of one document of each component: the smallest id, one row where ids repeat."""
+    """The rows and columns of one document of each component: the smallest id, one row where ids repeat.
+
+    For tables whose ids are keys; of components that share their smallest id one stays (see keep_each).
+    """
     kept = labelled(documents, shingle, radius).filter("doc_key = component").select("doc_key").distinct()
     rows = packed(documents).join(kept, "doc_key", "left_semi").dropDuplicates(["doc_key"])
     return rows.select(*unpacked(rows, documents.columns))
+
+
+def keep_each(documents: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
+    """The rows and columns of one document of every component, also where ids are null or shared by unrelated texts.
+
+    The smallest id stays, of its texts the one with the smallest hash, and one row where both repeat.
+    """
+    members = labelled(documents, shingle, radius, marked=True)
+    kept = members.groupBy("root").agg(F.min(F.struct("doc_key", "mark")).alias("first")).select("first.doc_key", "first.mark")
+    rows = packed(documents).withColumn("mark", _mark()).join(kept, ["doc_key", "mark"], "left_semi").dropDuplicates(["doc_key", "mark"])
+    return rows.select(*unpacked(rows, documents.columns))

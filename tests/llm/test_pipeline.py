@@ -36,3 +36,10 @@ def test_run_is_all_stages(spark, tmp_path):
     spark.createDataFrame([(1, "one")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert [r.mix_position for r in out.collect()] == list(range(out.count()))
+
+
+def test_near_dedup_keeps_unrelated_texts_of_one_id(spark, tmp_path):
+    texts = [" ".join(f"{a}{i}" for i in range(30)) for a in "abcdef"]
+    rows = [(None if i < 3 else 9, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([*rows, *rows[2:4]], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.text for r in corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).collect()) == texts

@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import numpy as np
@@ -84,3 +85,15 @@ def test_long_chain_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in simhash.components(edges).collect()}
     assert {got[i] for i in range(1, 41)} == {0} and got[101] == 100
+
+
+def test_one_row_of_each_component_whatever_the_ids(spark):
+    rnd = random.Random(3)
+    texts = [" ".join(f"w{rnd.randrange(10**6)}" for _ in range(80)) for _ in range(12)]
+    near = texts[5].replace(" ", "  ", 3)  # the same shingles, another text
+    rows = [*[(None, t) for t in texts[:4]], (None, texts[0]), *[(7, t) for t in texts[4:8]], (7, near), (3, texts[8]), (None, texts[8]), *[(i, t) for i, t in enumerate(texts[9:])]]
+    got = simhash.keep_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(" ".join(r.text.split()) for r in got) == sorted(texts)
+    assert {r.text: r.doc_id for r in got}[texts[8]] == 3
+    again = simhash.keep_each(spark.createDataFrame(rows[::-1], "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
