@@ -10,10 +10,10 @@ from quillgrid.llm.common import materialise, unpacked
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (null, or no letter) go; ambiguous ones stay, they may be clean."""
+    """Documents without a text or a letter go; all others stay, also ambiguous ones and where no label could be learnt."""
     model = language_id.fit(docs.filter(~language_id.held_out(3, 1)))
     found = language_id.predict(docs, model, carry=True)
-    return found.filter(F.col("lang_pred") != "und").select(*unpacked(found, docs.columns))
+    return found.filter(F.col("lettered")).select(*unpacked(found, docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

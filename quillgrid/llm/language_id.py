@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import FOLD, Numbers, as_id, give_back, in_slices, keep_share, packed, texts, type_of
@@ -109,16 +109,39 @@ class Model:
         return loss.argmin(1), 1 / share.sum(1), gap
 
 
-def fit(rows: DataFrame, per_language: int = 500, dims: int = 4096, rounds: int = 200) -> Model | None:
-    """Fit on rows (text, lang, doc_id) from about ``per_language`` documents of each language; None without any."""
+def _longest(rows: DataFrame, languages: list[str], per_language: int, max_bytes: int) -> dict[str, tuple[int, int, int]]:
+    """For each language: the length of the longest of its shortest texts that together have per_language * max_bytes
+    bytes (one text at least, per_language at most), how many these are, and how many texts are not longer."""
+    own = rows.filter(F.col("lang").isin(languages)).select("lang", F.octet_length("text").cast("long").alias("size"))
+    order = Window.partitionBy("lang").orderBy("size")
+    first = own.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language)
+    first = first.withColumn("upto", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    first = first.filter((F.col("n") == 1) | (F.col("upto") <= per_language * max_bytes))
+    bounds = first.groupBy("lang").agg(F.max("size").alias("bound"), F.count("*").alias("taken"))
+    counted = own.join(F.broadcast(bounds), "lang").filter("size <= bound").groupBy("lang").agg(F.first("bound").alias("bound"), F.first("taken").alias("taken"), F.count("*").alias("n"))
+    return {r.lang: (r.bound, r.taken, r.n) for r in counted.collect()}
+
+
+def fit(rows: DataFrame, per_language: int = 500, dims: int = 4096, rounds: int = 200, max_bytes: int = 1 << 17) -> Model | None:
+    """Fit on rows (text, lang, doc_id) from about ``per_language`` documents of each language; None without any.
+
+    Learnt from are texts of at most ``max_bytes`` bytes, which bounds what the driver gets; of a language that
+    has only longer ones, its shortest texts, as many as per_language * max_bytes bytes hold, one at least.
+    """
     rows = rows.filter(F.col("lang").isNotNull() & (F.octet_length("text") > 0)).select("doc_id", F.col("text").cast("string").alias("text"), "lang")
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    short = F.count_if(F.octet_length("text") <= max_bytes)
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(short.alias("n")).collect()}
     if not counts:
         return None
-    share = F.lit(0.0)
+    lacking = [lang for lang, n in counts.items() if not n]
+    longest = _longest(rows, lacking, per_language, max_bytes) if lacking else {}
+    share, bound = F.lit(0.0), F.lit(max_bytes)
     for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, min(1.0, per_language / n)).otherwise(share)
-    sample = rows.filter(keep_share(F.col("doc_id").cast("string"), share) & (F.octet_length("text") <= 1 << 17))
+        own, taken, n = longest.get(lang, (max_bytes, per_language, n))
+        share = F.when(F.col("lang") == lang, min(1.0, taken / n)).otherwise(share)
+        if lang in longest:
+            bound = F.when(F.col("lang") == lang, own).otherwise(bound)
+    sample = rows.filter(keep_share(F.col("doc_id").cast("string"), share) & (F.octet_length("text") <= bound))
     sample = sample.select("text", "lang").limit(2 * per_language * len(counts)).toArrow()
     languages = sorted(counts)
     documents = [_words(t) for t in texts(sample["text"])]
@@ -153,7 +176,8 @@ def fit(rows: DataFrame, per_language: int = 500, dims: int = 4096, rounds: int
 
 
 def predict(documents: DataFrame, model: Model | None, ambiguous_below: float = 0.05, carry: bool = False) -> DataFrame:
-    """doc_key, lang_pred, score, ambiguous of every row, from the text alone; with carry, also text and row.
+    """doc_key, lang_pred, score, ambiguous of every row, from the text alone; with carry, also text, row and
+    lettered (whether the text has a letter).
 
     Null texts and texts without a letter are ``und`` with score 0; so is everything where no labelled
     row was given. With one language all other texts have it, with score 1. Rows are judged one by one.
@@ -173,6 +197,8 @@ def predict(documents: DataFrame, model: Model | None, ambiguous_below: float =
                         names[i] = model.languages[b]
                     scores[at], vague[at] = share, gap < ambiguous_below
             found = {"lang_pred": pa.array(names, pa.string()), "score": pa.array(scores), "ambiguous": pa.array(vague)}
+            if carry:
+                found["lettered"] = pa.array([_has_letter(t) for t in raw], pa.bool_())
             yield pa.RecordBatch.from_pydict({c: batch[c] for c in carried} | found)
             give_back()
 
@@ -181,7 +207,7 @@ def predict(documents: DataFrame, model: Model | None, ambiguous_below: float =
         rows = rows.select("doc_key", "text")
     carried = [c for c in rows.columns if carry or c == "doc_key"]
     schema = ", ".join(f"{c} {type_of(rows, c)}" for c in carried)
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double, ambiguous boolean")
+    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double, ambiguous boolean" + (", lettered boolean" if carry else ""))
 
 
 def held_out(folds: int, fold: int) -> Column:

@@ -55,3 +55,16 @@ def test_grams_do_not_cross_words():
     alone = [language_id._grams([w], 1 << 20)[0].tolist() for w in (b"ab", b"cde", b"f")]
     parts = np.split(a, np.cumsum(n)[:-1])
     assert [sorted(p.tolist()) for p in parts] == [sorted(x) for x in alone] and n.tolist() == [7, 10, 4]
+
+
+def test_language_with_long_texts_only(spark):
+    frame = corpus(spark)
+    rows = [(r.doc_id, (r.text + " ") * (400 if r.lang == "cc" else 1), r.lang) for r in frame.collect()]
+    longest = max(len(t.encode()) for _, t, lang in rows if lang != "cc")
+    rows = [r for r in rows if r[2] != "cc" or len(r[1].encode()) > longest]
+    frame = spark.createDataFrame(rows, frame.schema)
+    for max_bytes in (longest, 1):  # one language with only longer texts; all of them
+        got = {r.doc_id: r.lang_pred for r in language_id.digest(frame, max_bytes=max_bytes).collect()}
+        assert np.mean([got[d] == lang for d, _, lang in rows if lang == "cc"]) > 0.9
+        if max_bytes == longest:
+            assert np.mean([got[d] == lang for d, _, lang in rows]) > 0.9

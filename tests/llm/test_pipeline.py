@@ -43,3 +43,9 @@ def test_near_dedup_keeps_unrelated_texts_of_one_id(spark, tmp_path):
     rows = [(None if i < 3 else 9, t, "en", "s", len(t)) for i, t in enumerate(texts)]
     docs = spark.createDataFrame([*rows, *rows[2:4]], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.text for r in corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).collect()) == texts
+
+
+def test_unlabelled_corpus_passes_the_language_stage(spark, tmp_path):
+    rows = [(i, t, None, "s", 1) for i, t in enumerate(["some text", "Ünï", "12 -- 3", "", None, "a"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.text for r in corpus_pipeline.identify_language(spark, docs, str(tmp_path)).collect()) == ["a", "some text", "Ünï"]
