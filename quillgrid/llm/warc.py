@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import json
 import zlib
 from bisect import bisect_left, bisect_right
 
@@ -109,7 +110,7 @@ def build_index(members: DataFrame, per_block: int = 1000) -> DataFrame:
         segment, block, lines = TaskContext.get().partitionId(), 0, []
 
         def cut(lines):
-            data = zlib.compress("\0".join(f"{key}\1{archive}\1{offset}" for key, archive, offset in lines).encode())
+            data = zlib.compress(json.dumps([*zip(*lines)], ensure_ascii=False).encode())  # keys, archives, offsets; any character may be in a key
             return pa.RecordBatch.from_pylist(
                 [{"segment": segment, "block": block, "first_key": lines[0][0], "last_key": lines[-1][0], "captures": len(lines), "data": data}],
                 schema=pa.schema([("segment", pa.int32()), ("block", pa.int32()), ("first_key", pa.string()), ("last_key", pa.string()), ("captures", pa.int32()), ("data", pa.binary())]),
@@ -148,7 +149,7 @@ def lookup(index: DataFrame, keys: DataFrame) -> DataFrame:
     def find(wanted: pa.Table, blocks: pa.Table) -> pa.Table:
         rows = sorted(zip(*(blocks[c].to_pylist() for c in ("block", "first_key", "last_key", "data"))), key=lambda r: r[0])
         firsts, lasts = [r[1].encode() for r in rows], [r[2].encode() for r in rows]
-        opened: dict[int, tuple[list[bytes], list[bytes]]] = {}
+        opened: dict[int, tuple[list[bytes], list[str], list[int]]] = {}
         archives, offsets = [], []
         for key in sorted(wanted["key"].to_pylist()):
             raw = key.encode()
@@ -156,13 +157,12 @@ def lookup(index: DataFrame, keys: DataFrame) -> DataFrame:
                 if i not in opened:
                     if len(opened) > 8:
                         opened.clear()
-                    lines = zlib.decompress(rows[i][3]).split(b"\0")
-                    opened[i] = lines, [x.split(b"\1", 1)[0] for x in lines]
-                lines, names = opened[i]
-                for line in lines[bisect_left(names, raw) : bisect_right(names, raw)]:
-                    _, archive, offset = line.rsplit(b"\1", 2)
-                    archives.append(archive.decode())
-                    offsets.append(int(offset))
+                    names, files, places = json.loads(zlib.decompress(rows[i][3]))
+                    opened[i] = [x.encode() for x in names], files, places
+                names, files, places = opened[i]
+                a, b = bisect_left(names, raw), bisect_right(names, raw)
+                archives += files[a:b]
+                offsets += places[a:b]
         return pa.table([pa.array(archives, pa.string()), pa.array(offsets, pa.int64())], schema=_CAPTURES)
 
     wanted = keys.select("key").filter("key is not null").distinct().mapInArrow(route, "key string, segment int")

@@ -72,3 +72,15 @@ def test_damage_is_seen():
 def test_keys(spark):
     rows = spark.createDataFrame([("HTTP://WWW.Ab.co.UK:8080/X?y#z",), ("a.b",), ("http://a.b?q",), (None,)], "url string")
     assert [r.k for r in rows.select(warc.capture_key(F.col("url")).alias("k")).collect()] == ["uk,co,ab,www)/X?y#z", "b,a)", "b,a)?q", ")"]
+
+
+def test_control_characters_in_urls(spark):
+    urls = [f"http://a{c}b.com{c}/x{c}y{c}{c}" for c in "\0\1\2\n\x1f\""] + ["http://a", "http://b.com\1/", "http://b.com/\0", "http://b.com/"]
+    pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    assert sorted(r.page_id for r in warc.digest(pages).collect()) == list(range(len(urls)))
+    index = warc.build_index(warc.write_archives(pages), per_block=2)
+    keys = pages.select(warc.capture_key(F.col("url")).alias("key"))
+    assert warc.lookup(index, keys).count() == len(urls)
+    halves = [(k.key.split(c)[0],) for k in keys.collect() for c in "\0\1" if c in k.key]
+    own = {k.key for k in keys.collect()}
+    assert warc.lookup(index, spark.createDataFrame([h for h in halves if h[0] not in own], "key string")).count() == 0
