@@ -51,3 +51,20 @@ def test_shares_follow_the_weights(spark):
 
 def test_empty(spark):
     assert mixing.mix(empty_documents(spark)).count() == 0
+
+
+def test_targets_hold_over_max_sources(spark):
+    rows = [*["hot"] * 600, *[f"s{i}" for i in range(30) for _ in range(20 + 20 * (i % 2))]]
+    frame = spark.createDataFrame(list(enumerate(rows)), "doc_id long, source string")
+    mixed = mixing.mix(frame, {"hot": 0.6, "s0": 0.02}, block=5, max_sources=3).orderBy("mix_position").collect()
+    assert [r.mix_position for r in mixed] == list(range(len(rows)))
+    had = Counter()
+    for t, r in enumerate(mixed[:800], 1):
+        had[r.source] += 1
+        assert abs(had["hot"] - t / 2) < 10  # 0.6 of 0.6 + 30 * 0.02
+        assert all(abs(had[f"s{i}"] - t / 60) < 10 for i in range(30))
+    mixed = mixing.mix(frame, temperature=1.0, block=5, max_sources=3).orderBy("mix_position").collect()
+    had = Counter()
+    for t, r in enumerate(mixed, 1):
+        had[r.source] += 1
+        assert all(abs(had[s] - t * n / len(rows)) < 10 for s, n in Counter(rows).items())
