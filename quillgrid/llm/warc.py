@@ -8,7 +8,8 @@ shared folder; the members in order of their offsets are the .warc.gz file, byte
 Index: capture keys with reversed hosts are range-partitioned and sorted; every ``per_block`` keys
 become one compressed block. A segment (one range) has a sparse directory of its blocks' first keys,
 and a top directory has one entry for each segment. A lookup searches the top directory, then the
-segment's directory, then the block, each by bisection, and reads only the records found.
+segment's directory, then the block, each by bisection. The index and the members are read whole:
+they are joined with what is asked for, there are no range reads.
 """
 
 from __future__ import annotations
