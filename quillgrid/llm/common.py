@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Stands for a null document id inside an operator: it sorts after every real id.
+#: Stands for a null document id inside an operator: it sorts after every real id. A real id of this value is taken for null.
 NULL_ID = (1 << 63) - 1
 
 #: ASCII translation: A-Z to a-z, every ASCII byte outside [0-9a-z] to a space; bytes over 0x7F stay.
@@ -81,22 +85,57 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: Lists that the folders made from now on are noted in: that of the process, and one for each ``scratch`` in force.
+_NOTED: list[list[str]] = [[]]
+
+
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A new folder below the one in spark.checkpoint.dir, which the driver and all executors see.
 
-    Only where the session names none (as in tests on one machine) is a local folder set.
+    Only where the session names none, and runs on one machine (as in tests), is a local folder set.
+    It is removed when the process ends, or before by ``discard``.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            base = current.get()
-        else:
-            import tempfile
-
-            base = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
-            spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        import tempfile
+
+        base = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
+        spark.sparkContext.setCheckpointDir(base)
+    folder = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    for noted in _NOTED:
+        noted.append(folder)
+    return folder
+
+
+def open_store(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a shared folder, and the folder's path in it; also on executors."""
+    return fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+
+
+def discard(folders: Iterable[str]) -> None:
+    """Remove folders that nothing reads any more; what is gone already, or in a store not known here, is passed over."""
+    for folder in folders:
+        try:
+            store, path = open_store(folder)
+            store.delete_dir(path)
+        except (OSError, pa.ArrowException):
+            continue
+
+
+@contextmanager
+def scratch() -> Iterator[list[str]]:
+    """The folders made inside, in order."""
+    made: list[str] = []
+    _NOTED.append(made)
+    try:
+        yield made
+    finally:
+        _NOTED.remove(made)
+
+
+atexit.register(lambda: discard(_NOTED[0]))
 
 
 def materialise(frame: DataFrame, label: str) -> DataFrame:

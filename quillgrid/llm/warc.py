@@ -1,15 +1,17 @@
 """WARC archives of pages, and a two-level capture index over them.
 
-Writing: one gzip member for each record, each task's members one archive. Of equal payloads of a
-least size one record is the response and the others are revisits of it. Executors share no local
-folder, so an archive is kept as rows (archive, offset, length, member) of a Parquet table in the
-shared folder; the members in order of their offsets are the .warc.gz file, byte for byte.
+Writing: one gzip member for each record, each task's members one .warc.gz file in the shared folder.
+Of equal payloads of a least size one record is the response and the others are revisits of it.
 
 Index: capture keys with reversed hosts are range-partitioned and sorted; every ``per_block`` keys
-become one compressed block. A segment (one range) has a sparse directory of its blocks' first keys,
-and a top directory has one entry for each segment. A lookup searches the top directory, then the
-segment's directory, then the block, each by bisection. The index and the members are read whole:
-they are joined with what is asked for, there are no range reads.
+become one compressed block, a segment (one range) is a file of blocks. The sparse directory has each
+block's first and last key and its place in the file, the top directory one entry for each segment.
+A lookup searches the top directory and the segment's directory by bisection, reads the byte ranges
+of the blocks found, searches those by bisection, and then reads the byte ranges of the records.
+
+Files are opened through Arrow's file systems, so the shared folder is on a local path that all
+machines see, or in HDFS, S3, GCS or ABFS. A task that runs again writes a file of its own; only the
+places that its last attempt returned are used.
 """
 
 from __future__ import annotations
@@ -19,17 +21,26 @@ import hashlib
 import json
 import zlib
 from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, partitions
+from .common import materialise, open_store, partitions, shared_folder
 
 _LEAST_ID = -(1 << 63)  # stands for a null page_id: before all others
-_MEMBERS = "archive string, offset long, length long, key string, member binary"
-_CAPTURES = pa.schema([("archive", pa.string()), ("offset", pa.int64())])
+_CAPTURES = pa.schema([("key", pa.string()), ("archive", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
+_DIRECTORY = pa.schema([
+    ("segment", pa.int32()), ("block", pa.int32()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()),
+    ("first_key", pa.string()), ("last_key", pa.string()), ("captures", pa.int32()),
+])
+_RECORDS = pa.schema([
+    ("page_key", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()),
+    ("refers", pa.int64()), ("target_uri", pa.string()),
+])
+_AT_ONCE = 1 << 22  # bytes of one read, and of the records unpacked at once
 
 
 def capture_key(url: Column) -> Column:
@@ -74,12 +85,62 @@ def parse(raw: bytes) -> dict:
     }
 
 
+def _ddl(schema: pa.Schema) -> str:
+    return ", ".join(f"{f.name} {'int' if f.type == pa.int32() else 'long' if f.type == pa.int64() else 'string'}" for f in schema)
+
+
+def _new_file(folder: str, label: str, ending: str):
+    """A new file of this task's attempt in the shared folder: its name there and a stream into it."""
+    task = TaskContext.get()
+    store, path = open_store(folder)
+    name = f"{label}-{task.partitionId():06d}-{task.taskAttemptId()}.{ending}"
+    return f"{folder}/{name}", store.open_output_stream(f"{path}/{name}", compression=None)
+
+
+def _file(name: str):
+    folder, _, own = name.rpartition("/")
+    store, path = open_store(folder)
+    return store.open_input_file(f"{path}/{own}")
+
+
+def _made(frame: DataFrame, label: str) -> str:
+    folder = shared_folder(frame.sparkSession, label)
+    store, path = open_store(folder)
+    store.create_dir(path, recursive=True)
+    return folder
+
+
+def read_ranges(wanted: list[tuple[str, int, int]]) -> Iterator[bytes]:
+    """The bytes at (file, offset, length), file by file; ranges that touch are read together, others are not."""
+    wanted = sorted(wanted)
+    name, source, at = None, None, 0
+    try:
+        while at < len(wanted):
+            if wanted[at][0] != name:
+                if source is not None:
+                    source.close()
+                name = wanted[at][0]
+                source = _file(name)
+            begin = end = wanted[at][1]
+            upto = at
+            while upto < len(wanted) and wanted[upto][0] == name and wanted[upto][1] <= end and (upto == at or wanted[upto][1] + wanted[upto][2] - begin <= _AT_ONCE):
+                end = max(end, wanted[upto][1] + wanted[upto][2])
+                upto += 1
+            data = source.read_at(end - begin, begin)
+            for _, offset, length in wanted[at:upto]:
+                yield data[offset - begin : offset - begin + length]
+            at = upto
+    finally:
+        if source is not None:
+            source.close()
+
+
 def write_archives(pages: DataFrame, least_payload: int = 1000, date: str = "2024-01-01T00:00:00Z", level: int = 5) -> DataFrame:
-    """The members of all archives, written to the shared folder: archive, offset, length, key, member.
+    """Writes .warc.gz files to the shared folder; key, archive, offset, length of every record in them.
 
-    A null html is an empty payload; a null url is about:blank. Of equal payloads of at least
+    A null html is an empty payload; a null or empty url is about:blank. Of equal payloads of at least
     ``least_payload`` bytes the one with the largest page_id is the response; repeated rows of that
-    page are responses too. A null page_id sorts before all others.
+    page are responses too. A null page_id sorts before all others. An empty table gives no records.
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(_LEAST_ID)).alias("page_key"), F.col("url").cast("string").alias("url"), html.alias("html"))
@@ -88,50 +149,63 @@ def write_archives(pages: DataFrame, least_payload: int = 1000, date: str = "202
     repeated = rows.filter(large).groupBy("digest").agg(F.max("page_key").alias("keeper"), F.count("*").alias("n")).filter("n > 1").drop("n")
     rows = rows.join(repeated, "digest", "left")
     rows = rows.select("page_key", "url", "html", "digest", F.when(large & (F.col("page_key") < F.col("keeper")), F.col("keeper")).alias("refers"), capture_key(F.col("url")).alias("key"))
+    folder = _made(pages, "warc")
 
     def run(batches):
-        name, offset = f"pages-{TaskContext.get().partitionId():06d}.warc.gz", 0
-        for batch in batches:
-            out = []
-            for page, url, html, digest, refers, key in zip(*(batch[c].to_pylist() for c in ("page_key", "url", "html", "digest", "refers", "key"))):
-                member = gzip.compress(record(page, url, html.encode("utf-8", "replace"), digest, refers, date), level, mtime=0)
-                out.append({"archive": name, "offset": offset, "length": len(member), "key": key, "member": member})
-                offset += len(member)
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("archive", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("key", pa.string()), ("member", pa.binary())]))
-
-    return materialise(rows.mapInArrow(run, _MEMBERS), "warc")
-
-
-def build_index(members: DataFrame, per_block: int = 1000) -> DataFrame:
-    """segment, block, first_key, last_key, captures, data: the blocks, written to the shared folder."""
-    n = partitions(members.sparkSession)
-    ordered = members.select("key", "archive", "offset", "length").repartitionByRange(n, "key", "archive", "offset").sortWithinPartitions("key", "archive", "offset")
+        name, stream = _new_file(folder, "pages", "warc.gz")
+        with stream:
+            offset = 0
+            for batch in batches:
+                out = []
+                for page, url, html, digest, refers, key in zip(*(batch[c].to_pylist() for c in ("page_key", "url", "html", "digest", "refers", "key"))):
+                    member = gzip.compress(record(page, url, html.encode("utf-8", "replace"), digest, refers, date), level, mtime=0)
+                    stream.write(member)
+                    out.append({"key": key, "archive": name, "offset": offset, "length": len(member)})
+                    offset += len(member)
+                yield pa.RecordBatch.from_pylist(out, schema=_CAPTURES)
+
+    return materialise(rows.mapInArrow(run, _ddl(_CAPTURES)), "captures")
+
+
+def build_index(captures: DataFrame, per_block: int = 1000, per_segment: int = 1 << 20) -> DataFrame:
+    """Writes the blocks of captures (key, archive, offset, length) to segment files; the sparse directory of them:
+    segment, block, file, offset, length, first_key, last_key, captures.
+
+    A segment has about ``per_segment`` captures or less, also where one key has most of them.
+    """
+    n = max(partitions(captures.sparkSession), -(-captures.count() // per_segment))
+    place = ["key", "archive", "offset"]
+    ordered = captures.select(*_CAPTURES.names).repartitionByRange(n, *place).sortWithinPartitions(*place)
+    folder = _made(captures, "index")
 
     def run(batches):
-        segment, block, lines = TaskContext.get().partitionId(), 0, []
+        name, stream = _new_file(folder, "segment", "blocks")
+        with stream:
+            segment, block, offset, lines = TaskContext.get().partitionId(), 0, 0, []
 
-        def cut(lines):
-            data = zlib.compress(json.dumps([*zip(*lines)], ensure_ascii=False).encode())  # keys, archives, offsets; any character may be in a key
-            return pa.RecordBatch.from_pylist(
-                [{"segment": segment, "block": block, "first_key": lines[0][0], "last_key": lines[-1][0], "captures": len(lines), "data": data}],
-                schema=pa.schema([("segment", pa.int32()), ("block", pa.int32()), ("first_key", pa.string()), ("last_key", pa.string()), ("captures", pa.int32()), ("data", pa.binary())]),
-            )
+            def cut(lines):
+                data = zlib.compress(json.dumps([*zip(*lines)], ensure_ascii=False).encode())  # one list for each column; any character may be in a key
+                stream.write(data)
+                row = {"segment": segment, "block": block, "file": name, "offset": offset, "length": len(data), "first_key": lines[0][0], "last_key": lines[-1][0], "captures": len(lines)}
+                return len(data), pa.RecordBatch.from_pylist([row], schema=_DIRECTORY)
 
-        for batch in batches:
-            lines += zip(*(batch[c].to_pylist() for c in ("key", "archive", "offset")))
-            while len(lines) >= per_block:
-                yield cut(lines[:per_block])
-                lines, block = lines[per_block:], block + 1
-        if lines:
-            yield cut(lines)
+            for batch in batches:
+                lines += zip(*(batch[c].to_pylist() for c in _CAPTURES.names))
+                while len(lines) >= per_block:
+                    size, row = cut(lines[:per_block])
+                    lines, block, offset = lines[per_block:], block + 1, offset + size
+                    yield row
+            if lines:
+                yield cut(lines)[1]
 
-    return materialise(ordered.mapInArrow(run, "segment int, block int, first_key string, last_key string, captures int, data binary"), "index")
+    return materialise(ordered.mapInArrow(run, _ddl(_DIRECTORY)), "directory")
 
 
 def lookup(index: DataFrame, keys: DataFrame) -> DataFrame:
-    """archive, offset of every capture of the distinct ``key``s asked for; unknown and null keys find none.
+    """key, archive, offset, length of every capture of the distinct ``key``s asked for; unknown and null keys find none.
 
-    The top directory has at most one row for each segment, that is for each partition of the sort.
+    The top directory has one row for each segment. Of the index files only the blocks are read whose
+    span of keys has a key that is asked for.
     """
     spark = index.sparkSession
     top = index.groupBy("segment").agg(F.min("first_key").alias("first"), F.max("last_key").alias("last")).collect()
@@ -147,54 +221,65 @@ def lookup(index: DataFrame, keys: DataFrame) -> DataFrame:
                 out += [{"key": key, "segment": sent.value[i][2]} for i in range(bisect_left(lasts, raw), bisect_right(firsts, raw))]
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("key", pa.string()), ("segment", pa.int32())]))
 
-    def find(wanted: pa.Table, blocks: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(blocks[c].to_pylist() for c in ("block", "first_key", "last_key", "data"))), key=lambda r: r[0])
+    def find(wanted: pa.Table, directory: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(directory[c].to_pylist() for c in ("block", "first_key", "last_key", "file", "offset", "length"))), key=lambda r: r[0])
         firsts, lasts = [r[1].encode() for r in rows], [r[2].encode() for r in rows]
-        opened: dict[int, tuple[list[bytes], list[str], list[int]]] = {}
-        archives, offsets = [], []
-        for key in sorted(wanted["key"].to_pylist()):
+        asked: dict[int, list[bytes]] = {}
+        for key in wanted["key"].to_pylist():
             raw = key.encode()
             for i in range(bisect_left(lasts, raw), bisect_right(firsts, raw)):
-                if i not in opened:
-                    if len(opened) > 8:
-                        opened.clear()
-                    names, files, places = json.loads(zlib.decompress(rows[i][3]))
-                    opened[i] = [x.encode() for x in names], files, places
-                names, files, places = opened[i]
+                asked.setdefault(i, []).append(raw)
+        blocks, found = sorted(asked), [[], [], [], []]
+        # the blocks of a segment stand in its file in order, as read_ranges returns them
+        for i, data in zip(blocks, read_ranges([rows[i][3:] for i in blocks])):
+            columns = json.loads(zlib.decompress(data))
+            names = [x.encode() for x in columns[0]]
+            for raw in asked[i]:
                 a, b = bisect_left(names, raw), bisect_right(names, raw)
-                archives += files[a:b]
-                offsets += places[a:b]
-        return pa.table([pa.array(archives, pa.string()), pa.array(offsets, pa.int64())], schema=_CAPTURES)
+                for whole, column in zip(found, columns):
+                    whole += column[a:b]
+        return pa.table([pa.array(c, f.type) for c, f in zip(found, _CAPTURES)], schema=_CAPTURES)
 
     wanted = keys.select("key").filter("key is not null").distinct().mapInArrow(route, "key string, segment int")
-    return wanted.groupBy("segment").cogroup(index.groupBy("segment")).applyInArrow(find, "archive string, offset long")
+    return wanted.groupBy("segment").cogroup(index.groupBy("segment")).applyInArrow(find, _ddl(_CAPTURES))
 
 
-def read_records(members: DataFrame, captures: DataFrame) -> DataFrame:
-    """The records at (archive, offset), unpacked and checked."""
+def read_records(captures: DataFrame, stretch: int = 1 << 25) -> DataFrame:
+    """The records at (archive, offset, length), unpacked and checked; nothing else of the archives is read.
+
+    Places in one ``stretch`` of an archive's bytes go to one task.
+    """
 
     def run(batches):
-        shape = pa.schema([("page_key", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers", pa.int64()), ("target_uri", pa.string())])
         for batch in batches:
-            yield pa.RecordBatch.from_pylist([parse(gzip.decompress(m)) for m in batch["member"].to_pylist()], schema=shape)
-
-    found = members.select("archive", "offset", "member").join(captures, ["archive", "offset"]).select("member")
-    return found.mapInArrow(run, "page_key long, payload_bytes long, payload_digest string, record_type string, refers long, target_uri string")
+            wanted = list(zip(*(batch[c].to_pylist() for c in ("archive", "offset", "length"))))
+            rows, size = [], 0
+            for member in read_ranges(wanted):
+                raw = gzip.decompress(member)
+                rows.append(parse(raw))
+                size += len(raw)
+                if size > _AT_ONCE:
+                    yield pa.RecordBatch.from_pylist(rows, schema=_RECORDS)
+                    rows, size = [], 0
+            yield pa.RecordBatch.from_pylist(rows, schema=_RECORDS)
+
+    places = captures.select("archive", "offset", "length").withColumn("stretch", F.floor(F.col("offset") / stretch))
+    places = places.repartition(partitions(captures.sparkSession), "archive", "stretch").sortWithinPartitions("archive", "offset")
+    return places.mapInArrow(run, _ddl(_RECORDS))
 
 
 def digest(pages: DataFrame, least_payload: int = 1000) -> DataFrame:
     """Archives of all pages, read back by looking up every page's key in the index."""
-    members = write_archives(pages, least_payload)
-    index = build_index(members)
-    records = read_records(members, lookup(index, pages.select(capture_key(F.col("url")).alias("key"))))
+    index = build_index(write_archives(pages, least_payload))
+    records = read_records(lookup(index, pages.select(capture_key(F.col("url")).alias("key"))))
     real = lambda c: F.nullif(F.col(c), F.lit(_LEAST_ID))
-    return records.select(real("page_key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", real("refers").alias("refers_to"), "target_uri")
+    return records.select(real("page_key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", real("refers").alias("refers_to"))
 
 
 ORACLE = """
-    WITH p AS (SELECT page_id, coalesce(html, '') AS html, url FROM pages),
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
     k AS (SELECT html, max(page_id) AS keeper FROM p WHERE strlen(html) >= 1000 GROUP BY html)
     SELECT page_id, CAST(strlen(p.html) AS BIGINT) AS payload_bytes, sha1(p.html) AS payload_digest,
            CASE WHEN page_id < keeper THEN 'revisit' ELSE 'response' END AS record_type,
-           CASE WHEN page_id < keeper THEN keeper END AS refers_to, coalesce(url, 'about:blank') AS target_uri
+           CASE WHEN page_id < keeper THEN keeper END AS refers_to
     FROM p LEFT JOIN k USING (html)"""
