@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import FOLD, Numbers, as_id, give_back, in_slices, keep_share, packed, texts, type_of
+from .common import FOLD, Numbers, as_id, give_back, in_slices, packed, texts, type_of
 
 _LETTER = regex.compile(r"\p{L}")
 _CHUNK = 1 << 18
@@ -56,11 +56,11 @@ def codewords(n: int, seed: int = 17) -> np.ndarray:
     """n rows of +1 and -1 with large least distance: the best of seeded draws; no bit is constant."""
     bits = max(7, int(np.ceil(8 * np.log2(max(n, 2)))))
     rng, best, far = np.random.default_rng(seed), None, -1
-    for _ in range(400):
+    for _ in range(max(8, min(400, 40_000_000 // (n * n)))):
         code = rng.choice(np.array([-1, 1], np.int8), (n, bits)).astype(np.int64)
         flat = np.abs(code.sum(0)) == n
         code[0, flat] *= -1
-        apart = (bits - code @ code.T) // 2 + bits * np.eye(n, dtype=np.int64)
+        apart = (bits - (code.astype(np.float32) @ code.T.astype(np.float32)).astype(np.int64)) // 2 + bits * np.eye(n, dtype=np.int64)
         if apart.min() > far:
             best, far = code, apart.min()
     return best.astype(np.float32)
@@ -102,77 +102,96 @@ class Model:
 
     def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Best language, its share of exp(-loss), and the gap between the two least losses by bit."""
-        loss = np.logaddexp(0, -margins[:, None, :] * self.code[None]).sum(2)
-        order = np.sort(loss, axis=1)
-        share = np.exp(order[:, :1] - loss)
-        gap = (order[:, 1] - order[:, 0]) / self.code.shape[1] if loss.shape[1] > 1 else np.full(len(loss), np.inf)
-        return loss.argmin(1), 1 / share.sum(1), gap
-
-
-def _longest(rows: DataFrame, languages: list[str], per_language: int, max_bytes: int) -> dict[str, tuple[int, int, int]]:
-    """For each language: the length of the longest of its shortest texts that together have per_language * max_bytes
-    bytes (one text at least, per_language at most), how many these are, and how many texts are not longer."""
-    own = rows.filter(F.col("lang").isin(languages)).select("lang", F.octet_length("text").cast("long").alias("size"))
-    order = Window.partitionBy("lang").orderBy("size")
-    first = own.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language)
-    first = first.withColumn("upto", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    first = first.filter((F.col("n") == 1) | (F.col("upto") <= per_language * max_bytes))
-    bounds = first.groupBy("lang").agg(F.max("size").alias("bound"), F.count("*").alias("taken"))
-    counted = own.join(F.broadcast(bounds), "lang").filter("size <= bound").groupBy("lang").agg(F.first("bound").alias("bound"), F.first("taken").alias("taken"), F.count("*").alias("n"))
-    return {r.lang: (r.bound, r.taken, r.n) for r in counted.collect()}
-
-
-def fit(rows: DataFrame, per_language: int = 500, dims: int = 4096, rounds: int = 200, max_bytes: int = 1 << 17) -> Model | None:
-    """Fit on rows (text, lang, doc_id) from about ``per_language`` documents of each language; None without any.
-
-    Learnt from are texts of at most ``max_bytes`` bytes, which bounds what the driver gets; of a language that
-    has only longer ones, its shortest texts, as many as per_language * max_bytes bytes hold, one at least.
+        up, down = (self.code > 0).astype(np.float32), (self.code < 0).astype(np.float32)
+        loss = (np.logaddexp(0, -margins) @ up.T + np.logaddexp(0, margins) @ down.T).astype(np.float64)
+        best = loss.argmin(1)
+        least = loss[np.arange(len(loss)), best]
+        share = 1 / np.exp(least[:, None] - loss).sum(1)
+        if loss.shape[1] == 1:
+            return best, share, np.full(len(loss), np.inf)
+        loss[np.arange(len(loss)), best] = np.inf
+        return best, share, (loss.min(1) - least) / self.code.shape[1]
+
+
+def _chosen(rows: DataFrame, per_language: int, max_rows: int, max_languages: int) -> DataFrame:
+    """The distinct (lang, text) learnt from, with their place ``order`` in a seeded hash order: the first ones of each language."""
+    n = min(rows.select("lang").distinct().count(), max_languages)
+    each = max(1, min(per_language, max_rows // max(1, n)))
+    first = rows.select("lang", "order").withColumn("n", F.dense_rank().over(Window.partitionBy("lang").orderBy("order"))).filter(F.col("n") <= each)
+    # at most max_languages rows: those with most texts, of equal ones the first by name
+    last = first.groupBy("lang").agg(F.max("order").alias("last"), F.max("n").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages)
+    return rows.join(F.broadcast(last.select("lang", "last")), "lang").filter("order <= last").dropDuplicates(["lang", "order"])
+
+
+def _examples(rows: DataFrame, dims: int) -> DataFrame:
+    """lang, order, piece, slots, shares: the n-grams of each text, and of a short piece from its middle, so that
+    short texts are not judged by the bias. Made where the texts are: only these sparse rows come to the driver."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for lang, order, text in zip(batch["lang"].to_pylist(), batch["order"].to_pylist(), texts(batch["text"])):
+                words = _words(text)
+                for piece, part in enumerate((words, words[len(words) // 2 :][:6])):
+                    if part:
+                        slots, counts = np.unique(_grams(part, dims)[0], return_counts=True)
+                        out.append((lang, order, piece, slots.astype(np.int32), (counts / counts.sum()).astype(np.float32)))
+            columns = [*zip(*out)] if out else [[]] * 5
+            kinds = [pa.string(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.float32())]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["lang", "order", "piece", "slots", "shares"])
+
+    return rows.select("lang", "order", "text").mapInArrow(run, "lang string, order long, piece int, slots array<int>, shares array<float>")
+
+
+def fit(
+    rows: DataFrame, per_language: int = 500, dims: int = 4096, steps: int = 240, max_rows: int = 16_000, max_languages: int = 1000,
+) -> Model | None:
+    """Fit on rows (text, lang) of labelled documents; None without any.
+
+    Learnt from are the first ``per_language`` texts of each language in a seeded hash order of texts, whole
+    whatever their length; fewer of each where all would be over ``max_rows``, and no more than the
+    ``max_languages`` most frequent languages. These bounds are the classifier's sample; what they bound is the driver's
+    memory. A text that is there several times under a language counts once, under two languages for both.
     """
-    rows = rows.filter(F.col("lang").isNotNull() & (F.octet_length("text") > 0)).select("doc_id", F.col("text").cast("string").alias("text"), "lang")
-    short = F.count_if(F.octet_length("text") <= max_bytes)
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(short.alias("n")).collect()}
-    if not counts:
+    rows = rows.filter(F.col("lang").isNotNull() & (F.octet_length("text") > 0)).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    rows = rows.withColumn("order", F.xxhash64("text", F.lit("fit")))
+    found = _examples(_chosen(rows, per_language, max_rows, max_languages), dims).toArrow()
+    found = found.sort_by([("lang", "ascending"), ("order", "ascending"), ("piece", "ascending")]).combine_chunks()
+    if not len(found):
         return None
-    lacking = [lang for lang, n in counts.items() if not n]
-    longest = _longest(rows, lacking, per_language, max_bytes) if lacking else {}
-    share, bound = F.lit(0.0), F.lit(max_bytes)
-    for lang, n in counts.items():
-        own, taken, n = longest.get(lang, (max_bytes, per_language, n))
-        share = F.when(F.col("lang") == lang, min(1.0, taken / n)).otherwise(share)
-        if lang in longest:
-            bound = F.when(F.col("lang") == lang, own).otherwise(bound)
-    sample = rows.filter(keep_share(F.col("doc_id").cast("string"), share) & (F.octet_length("text") <= bound))
-    sample = sample.select("text", "lang").limit(2 * per_language * len(counts)).toArrow()
-    languages = sorted(counts)
-    documents = [_words(t) for t in texts(sample["text"])]
+    languages = sorted(set(found["lang"].to_pylist()))
     of = {lang: i for i, lang in enumerate(languages)}
-    y = np.array([of[x] for x in sample["lang"].to_pylist()], np.int64)
-    # beside each document stands a short piece from its middle, so short texts are not judged by the bias
-    documents += [d[len(d) // 2 :][:6] for d in documents]
-    y = np.concatenate([y, y])
-    full = [i for i, d in enumerate(documents) if d]
-    x = np.zeros((len(full), dims), np.float32)
-    for row, i in enumerate(full):
-        grams, _ = _grams(documents[i], dims)
-        x[row] = np.bincount(grams, minlength=dims) / len(grams)
-    y = y[full]
-    code = codewords(len(languages))
-    scale = 1 / np.sqrt(x.mean(0) + 1e-5) if len(x) else np.ones(dims, np.float32)
-    x *= scale
+    y = np.array([of[x] for x in found["lang"].to_pylist()], np.int64)
+    slots, shares = (found[c].combine_chunks().flatten().to_numpy() for c in ("slots", "shares"))
+    ends = np.cumsum(found["slots"].combine_chunks().value_lengths().to_numpy())
+    mean = np.bincount(slots, shares, dims) / len(y)
+    scale = (1 / np.sqrt(mean + 1e-5)).astype(np.float32)
+    return Model(languages, *_train(slots, shares * scale[slots], ends, y, codewords(len(languages)), scale, steps))
+
+
+def _train(slots, values, ends, y, code, scale, steps: int, batch: int = 512):
+    """Code, weights and bias of logistic bits, by steps over small batches; no more than a batch is dense at a time."""
+    n, dims = len(y), len(scale)
+    begins = np.concatenate([[0], ends[:-1]])
     weights, bias = np.zeros((dims, code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
-    if len(x):
-        balance = (1 / np.bincount(y, minlength=len(languages)).clip(1))[y].astype(np.float32)
-        balance /= balance.sum()
-        target = code[y]
-        m, v, t = np.zeros_like(weights), np.zeros_like(weights), 0
-        for t in range(1, rounds + 1):
-            margin = x @ weights + bias
-            slope = -target / (1 + np.exp(np.clip(target * margin, -30, 30))) * balance[:, None]
-            g = x.T @ slope + 1e-5 * weights
-            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            weights -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-            bias -= 0.5 * slope.sum(0)
-    return Model(languages, code, (weights * scale[:, None]).astype(np.float32), bias)
+    balance = (1 / np.bincount(y, minlength=len(code)).clip(1))[y].astype(np.float32)
+    balance *= n / balance.sum()
+    m, v, rng, turn = np.zeros_like(weights), np.zeros_like(weights), np.random.default_rng(3), np.zeros(0, np.int64)
+    for t in range(1, max(steps, 4 * -(-n // batch)) + 1):
+        if not len(turn):
+            turn = rng.permutation(n)
+        rows, turn = turn[:batch], turn[batch:]
+        many = ends[rows] - begins[rows]
+        at = np.repeat(begins[rows], many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+        x = np.zeros((len(rows), dims), np.float32)
+        x[np.repeat(np.arange(len(rows)), many), slots[at]] = values[at]
+        target = code[y[rows]]
+        slope = -target / (1 + np.exp(np.clip(target * (x @ weights + bias), -30, 30))) * (balance[rows, None] / len(rows))
+        g = x.T @ slope + 1e-5 * weights
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        weights -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        bias -= 0.5 * slope.sum(0)
+    return code, (weights * scale[:, None]).astype(np.float32), bias
 
 
 def predict(documents: DataFrame, model: Model | None, ambiguous_below: float = 0.05, carry: bool = False) -> DataFrame:

@@ -1,4 +1,6 @@
+import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -57,14 +59,51 @@ def test_grams_do_not_cross_words():
     assert [sorted(p.tolist()) for p in parts] == [sorted(x) for x in alone] and n.tolist() == [7, 10, 4]
 
 
-def test_language_with_long_texts_only(spark):
+def test_texts_of_any_length_are_learnt_from(spark):
     frame = corpus(spark)
-    rows = [(r.doc_id, (r.text + " ") * (400 if r.lang == "cc" else 1), r.lang) for r in frame.collect()]
-    longest = max(len(t.encode()) for _, t, lang in rows if lang != "cc")
-    rows = [r for r in rows if r[2] != "cc" or len(r[1].encode()) > longest]
-    frame = spark.createDataFrame(rows, frame.schema)
-    for max_bytes in (longest, 1):  # one language with only longer texts; all of them
-        got = {r.doc_id: r.lang_pred for r in language_id.digest(frame, max_bytes=max_bytes).collect()}
-        assert np.mean([got[d] == lang for d, _, lang in rows if lang == "cc"]) > 0.9
-        if max_bytes == longest:
-            assert np.mean([got[d] == lang for d, _, lang in rows]) > 0.9
+    rows = [(r.doc_id, (r.text + " ") * (4000 if r.lang == "cc" and r.doc_id % 7 == 0 else 1), r.lang) for r in frame.collect()]
+    rows = [r for r in rows if r[2] != "cc" or r[0] % 7 == 0]  # a language with long texts only
+    got = {r.doc_id: r.lang_pred for r in language_id.digest(spark.createDataFrame(rows, frame.schema)).collect()}
+    assert np.mean([got[d] == lang for d, _, lang in rows]) > 0.95
+
+
+def test_the_sample_is_bounded_and_the_same_again(spark):
+    frame = corpus(spark)
+    rows = frame.union(frame).union(frame.select("doc_id", "text", language_id.F.lit("zz")))  # repeated texts, a text under two languages
+    labelled = rows.withColumn("order", language_id.F.xxhash64("text"))
+    taken = language_id._chosen(labelled, 10, 1000, 100).groupBy("lang").count().collect()
+    assert {r.lang: r["count"] for r in taken} == dict.fromkeys(["aa", "bb", "cc", "dd", "ee", "zz"], 10)
+    assert language_id._chosen(labelled, 10, 12, 100).count() == 12
+    assert {r.lang for r in language_id._chosen(labelled, 10, 1000, 2).collect()} == {"aa", "bb"}
+    a, b = language_id.fit(frame), language_id.fit(frame.repartition(5))
+    assert np.array_equal(a.weights, b.weights) and a.languages == b.languages
+
+
+def test_hundred_languages_fit_in_little_memory(spark):
+    rnd = random.Random(4)
+    rows = []
+    for lang in range(100):
+        own = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=3)) for _ in range(6)]
+        rows += [(f"l{lang}", " ".join("".join(rnd.choices(own, k=2)) for _ in range(30))) for _ in range(12)]
+    frame = spark.createDataFrame(rows, "lang string, text string")
+    tracemalloc.start()
+    model = language_id.fit(frame, steps=120)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(model.languages) == 100 and peak < 200e6  # all rows dense at once would be 40 MB for each copy, and grow with them
+    margins = model.margins([language_id._words(t.encode()) for _, t in rows[::7]])
+    assert np.mean([model.languages[b] == lang for b, (lang, _) in zip(model.decode(margins)[0], rows[::7])]) > 0.9
+
+
+def test_decoding_is_the_plain_sum_of_losses(spark):
+    """Bit by bit and language by language, from n-grams counted one by one."""
+    frame = corpus(spark)
+    model = language_id.fit(frame)
+    for r in frame.limit(20).collect():
+        grams = [g for w in language_id._words(r.text.encode()) for g in language_id._grams([w], len(model.weights))[0].tolist()]
+        margins = [sum(float(model.weights[g, b]) for g in grams) / len(grams) + float(model.bias[b]) for b in range(model.code.shape[1])]
+        losses = [sum(math.log1p(math.exp(-m * c)) for m, c in zip(margins, code.tolist())) for code in model.code]
+        best, share, gap = model.decode(model.margins([language_id._words(r.text.encode())]))
+        first, second = sorted(losses)[:2]
+        assert losses[best[0]] - first < 1e-3
+        assert abs(share[0] - 1 / sum(math.exp(first - x) for x in losses)) < 1e-3 and abs(gap[0] - (second - first) / len(margins)) < 1e-3
