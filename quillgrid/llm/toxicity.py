@@ -1,9 +1,11 @@
 """Toxicity by multiple-instance learning: sentence scores, combined by noisy-or, learnt from document labels.
 
-A sentence's log-odds are a bias plus the weights of its words (the word and its beginnings, hashed).
-A document is toxic unless none of its sentences is: P = 1 - prod(1 - p). Only documents have labels;
-the gradient through the noisy-or finds the sentences that explain them, and these are reported. When
-scoring, the base rate that the bias gives to every sentence is taken off first.
+A sentence's evidence s is the sum of the weights of its words (the word and its beginnings, hashed). Its
+probability is p = 1 - exp(-rate), with rate = softplus(s + bias) - softplus(bias), and 0 for s <= 0: a
+sentence without evidence adds nothing, however many a text has. A document is toxic unless none of its
+sentences is, nor the leak that stands for all other causes: P = 1 - (1 - leak) prod(1 - p). This P is what is
+trained and what scores. Only documents have labels; the gradient through the noisy-or finds the sentences
+that explain them, and these are reported.
 """
 
 from __future__ import annotations
@@ -13,10 +15,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import FOLD, Numbers, as_id, in_slices, keep_share, key_id, texts
+from .common import FOLD, Numbers, as_id, in_slices, key_id, texts
 from .language_id import held_out
 
 #: Ends of sentences become a line feed, all else as in FOLD; positions stay.
@@ -44,13 +46,18 @@ def _features(words: list[bytes], dims: int) -> np.ndarray:
     return out % dims
 
 
+def _rates(s: np.ndarray, bias: float) -> np.ndarray:
+    return np.where(s > 0, np.logaddexp(0, np.minimum(s, 60) + bias) - np.logaddexp(0, bias), 0.0)
+
+
 @dataclass
 class Model:
     weights: np.ndarray
     bias: float
+    leak: float  # a probability
 
     def sentences(self, documents: list[list[list[bytes]]]) -> list[np.ndarray]:
-        """The probability of each sentence of each document, beyond the base rate of sentences."""
+        """The probability of each sentence of each document."""
         out: list[np.ndarray] = []
         at = 0
         while at < len(documents):
@@ -64,84 +71,103 @@ class Model:
             p = np.zeros(len(sizes))
             if len(numbers):
                 value = self.weights[_features(list(known), len(self.weights))].sum(1, dtype=np.float64)
-                z = np.add.reduceat(value[numbers], np.cumsum(sizes) - sizes) + self.bias
-                # less the base rate, which a long text's many plain sentences would add up
-                p = np.maximum(1 / (1 + np.exp(-np.clip(z, -40, 40))) - 1 / (1 + np.exp(-np.clip(self.bias, -40, 40))), 0)
+                p = -np.expm1(-_rates(np.add.reduceat(value[numbers], np.cumsum(sizes) - sizes), self.bias))
             cuts = np.cumsum([len(d) for d in documents[at:upto]])[:-1]
             out += np.split(p, cuts)
             at = upto
         return out
 
 
-def noisy_or(p: np.ndarray) -> float:
-    return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())) if len(p) else 0.0
+def noisy_or(p: np.ndarray, leak: float = 0.0) -> float:
+    return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum() + np.log1p(-leak)))
+
+
+@dataclass
+class Examples:
+    """Documents with a sentence: numbers of the distinct words of each sentence, sentence by sentence."""
+
+    words: list[bytes]  # by number
+    numbers: np.ndarray
+    sizes: np.ndarray  # words of each sentence
+    per_document: np.ndarray  # sentences of each document
+    y: np.ndarray
+
+
+def examples(found: list[tuple[bytes | None, int]]) -> Examples:
+    known, numbers, sizes, per_document, y = Numbers(), [], [], [], []
+    for text, toxic in found:
+        if cut := _sentences(text):
+            numbers += [known.of(s[2]).astype(np.int32) for s in cut]
+            sizes += [len(s[2]) for s in cut]
+            per_document.append(len(cut))
+            y.append(toxic)
+    joined = np.concatenate(numbers) if numbers else np.zeros(0, np.int32)
+    return Examples(list(known), joined, np.array(sizes, np.int64), np.array(per_document, np.int64), np.array(y, float))
 
 
-def train(documents: list[list[list[bytes]]], y: np.ndarray, dims: int, rounds: int, prior: float, sparse: float = 0.06) -> Model:
+def train(given: Examples, dims: int, rounds: int, prior: float, sparse: float = 0.06) -> Model:
     """Gradient steps through the noisy-or, with soft thresholding: most words keep no weight at all.
 
     prior: the share of toxic documents; sparse: the threshold as a multiple of a chance gradient.
     """
     weights, bias = np.zeros(dims), -6.0
-    full = np.array([bool(d) for d in documents], bool)
-    y, documents = y[full] if len(y) else y, [d for d in documents if d]
+    y, numbers = given.y, given.numbers
     if not 0 < y.sum() < len(y):
-        return Model(weights, bias)
+        return Model(weights.astype(np.float32), bias, 0.0)
+    level = float(np.log(-np.log1p(-prior)))  # the leak's rate is exp(level): first it stands for all toxic documents
     sparse = sparse * prior / np.sqrt(y.sum())
-    known = Numbers()
-    numbers = known.of([w for d in documents for s in d for w in s])
-    features = _features(list(known), dims)
-    sizes = np.array([len(s) for d in documents for s in d], np.int64)
-    sentence = np.repeat(np.arange(len(sizes)), sizes)
-    per_document = np.array([len(d) for d in documents], np.int64)
-    document = np.repeat(np.arange(len(y)), per_document)
+    features = _features(given.words, dims)
+    sentence = np.repeat(np.arange(len(given.sizes), dtype=np.int32), given.sizes)
+    document = np.repeat(np.arange(len(y), dtype=np.int32), given.per_document)
     # features of fewer than three documents have no say
-    words_at = np.unique(document[sentence] * len(known) + numbers)
-    df = np.zeros(dims)
-    np.add.at(df, features[words_at % len(known)].ravel(), 1)
+    pairs = np.unique(document[sentence].astype(np.int64) * len(given.words) + numbers)
+    df = np.bincount(features[pairs % len(given.words)].ravel(), minlength=dims)
     usable = df >= 3
-    first_word, first_sentence = np.cumsum(sizes) - sizes, np.cumsum(per_document) - per_document
+    first_word, first_sentence = np.cumsum(given.sizes) - given.sizes, np.cumsum(given.per_document) - given.per_document
     balance = np.where(y == 1, prior / y.sum(), (1 - prior) / (len(y) - y.sum()))
-    m, v, mb, vb = np.zeros(dims), np.zeros(dims), 0.0, 0.0
+    logistic = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+    m, v, other, square = np.zeros(dims), np.zeros(dims), np.zeros(2), np.zeros(2)
     for t in range(1, rounds + 1):
-        z = np.add.reduceat(weights[features].sum(1)[numbers], first_word) + bias
-        p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-        none = np.exp(np.add.reduceat(np.log1p(-np.minimum(p, 1 - 1e-12)), first_sentence))
-        pull = np.where(y == 1, -none / np.maximum(1 - none, 1e-9), 1.0) * balance
-        slope = p * pull[document]
-        by_word = np.bincount(numbers, slope[sentence], len(known))
+        s = np.add.reduceat(weights[features].sum(1)[numbers], first_word)
+        total = np.exp(level) + np.add.reduceat(_rates(s, bias), first_sentence)
+        none = np.exp(-total)
+        pull = (np.where(y == 1, -none / np.maximum(1 - none, 1e-9), 1.0) * balance)[document]
+        # a sentence without evidence has no slope of its own: it is held at nothing, or raised
+        slope = logistic(s + bias) * pull * ((s >= 0) | (pull < 0))
+        by_word = np.bincount(numbers, slope[sentence], len(given.words))
         g = np.bincount(features.ravel(), np.repeat(by_word, features.shape[1]), dims) * usable
         g = np.sign(g) * np.maximum(np.abs(g) - sparse * (weights == 0), 0) + sparse * np.sign(weights)
-        gb = slope.sum()
-        m, v, mb, vb = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
-        step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-4)
-        after = weights - step
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        after = weights - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-4)
         weights = np.where(weights * after < 0, 0.0, after)
-        bias -= 0.05 * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-6)
-    return Model(weights.astype(np.float32), float(bias))
+        both = np.array([((logistic(s + bias) - logistic(bias)) * pull * (s > 0)).sum(), np.exp(level) * (pull / given.per_document[document]).sum()])
+        other, square = 0.9 * other + 0.1 * both, 0.99 * square + 0.01 * both * both
+        step = 0.05 * (other / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.99**t)) + 1e-6)
+        bias, level = min(bias - step[0], -1.0), max(level - step[1], -12.0)
+    return Model(weights.astype(np.float32), float(bias), float(-np.expm1(-np.exp(level))))
 
 
 def fit(documents: DataFrame, labels: DataFrame, per_class: int = 2000, dims: int = 1 << 18, rounds: int = 160) -> Model:
-    """Fit on documents joined to labels (doc_id, toxic), about ``per_class`` of each class (expected size of the sample).
+    """Fit on documents joined to labels (doc_id, toxic): of each class the first ``per_class`` ids in a seeded hash
+    order, with whole texts. That bound is the classifier's sample, and keeps the driver's memory to it.
 
-    Whole texts are used; those over 128 KB are left out of the fit. Without a label of either class
-    the model scores by its bias alone.
+    An id with both labels counts as toxic; of several texts with one id, the one with the smallest hash is taken.
+    Without labels of both classes there is no evidence and no leak: all scores are 0.
     """
-    labels = labels.filter(F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null")
+    labels = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     counts = {r.toxic: r["count"] for r in labels.groupBy("toxic").count().collect()}
-    share = F.when(F.col("toxic") == 1, min(1.0, per_class / max(1, counts.get(1, 0)))).otherwise(min(1.0, per_class / max(1, counts.get(0, 0))))
-    chosen = labels.filter(keep_share(F.col("doc_id").cast("string"), share)).limit(4 * per_class)
-    rows = documents.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.octet_length("text") <= 1 << 17)
-    sample = rows.join(F.broadcast(chosen), "doc_id").select("text", "toxic").limit(8 * per_class).toArrow()
-    y = sample["toxic"].to_numpy().astype(float)
-    documents_ = [[s[2] for s in _sentences(t)] for t in texts(sample["text"])]
-    return train(documents_, y, dims, rounds, counts.get(1, 0) / max(1, sum(counts.values())))
+    order = Window.partitionBy("toxic").orderBy(F.xxhash64(F.col("doc_id"), F.lit("fit")), "doc_id")
+    chosen = labels.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_class).drop("n")  # at most 2 * per_class
+    rows = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    sample = rows.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).toArrow().sort_by("doc_id")
+    given = examples(list(zip(texts(sample["text"]), sample["toxic"].to_pylist())))
+    return train(given, dims, rounds, counts.get(1, 0) / max(1, sum(counts.values())))
 
 
 def score(documents: DataFrame, model: Model, offending: float = 0.5) -> DataFrame:
     """doc_key, score, and the offending sentences (begin, end in the text's UTF-8, p) of every row.
 
-    Null, empty and wordless texts have no sentence: score 0, none offending. Rows are judged one by one.
+    Null, empty and wordless texts have no sentence: they score the leak, none offending. Rows are judged one by one.
     """
     sent = documents.sparkSession.sparkContext.broadcast(model)
     spans = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
@@ -153,7 +179,7 @@ def score(documents: DataFrame, model: Model, offending: float = 0.5) -> DataFra
             for begin, end in in_slices(raw):
                 cut = [_sentences(t) for t in raw[begin:end]]
                 for d, p in zip(cut, model.sentences([[s[2] for s in d] for d in cut])):
-                    ps.append(noisy_or(p))
+                    ps.append(noisy_or(p, model.leak))
                     found.append([{"begin": d[i][0], "end": d[i][1], "p": float(p[i])} for i in np.flatnonzero(p >= offending)])
             yield pa.RecordBatch.from_arrays([batch["doc_key"], pa.array(ps, pa.float64()), pa.array(found, spans)], ["doc_key", "score", "offending"])
 

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -50,3 +51,37 @@ def test_noisy_or():
     assert toxicity.noisy_or(np.array([])) == 0
     assert abs(toxicity.noisy_or(np.array([0.5, 0.5])) - 0.75) < 1e-12
     assert toxicity.noisy_or(np.array([1.0, 0.2])) > 1 - 1e-9
+    assert abs(toxicity.noisy_or(np.array([0.5]), 0.5) - 0.75) < 1e-12
+
+
+def test_scores_are_the_plain_noisy_or_of_sentences(spark):
+    """Word by word and sentence by sentence, with the function that was trained."""
+    documents, labels, _ = corpus(spark)
+    model = toxicity.fit(documents, labels)
+    dims = len(model.weights)
+    got = {r.doc_key: r.score for r in toxicity.score(documents, model).collect()}
+    for r in documents.limit(40).collect():
+        clean = 1 - model.leak
+        for sentence in r.text.split("."):
+            words = set(sentence.encode().split())
+            s = sum(float(model.weights[zlib.crc32(w[:n], n + 1 if n else 1) % dims]) if n else float(model.weights[zlib.crc32(w, 1) % dims]) for w in words for n in (0, 3, 4, 5, 6))
+            if s > 0:
+                clean *= math.exp(math.log1p(math.exp(model.bias)) - math.log1p(math.exp(s + model.bias)))
+        assert abs(got[r.doc_id] - (1 - clean)) < 1e-5
+
+
+def test_sample_of_labels(spark):
+    documents, labels, truth = corpus(spark)
+    long = documents.withColumn("text", toxicity.F.concat("text", toxicity.F.lit(" "), toxicity.F.repeat(toxicity.F.lit("plain words here. "), 20_000)))
+    both = labels.union(labels.selectExpr("doc_id", "1 as toxic").filter("doc_id < 20"))  # two labels: toxic
+    seen = []
+    train = toxicity.train
+    toxicity.train = lambda given, *rest: seen.append((given, rest)) or train(given, *rest)
+    try:
+        toxicity.fit(long.union(documents), both, per_class=30)
+    finally:
+        toxicity.train = train
+    given, (_, _, prior) = seen[0]
+    assert len(given.y) == 60 and given.y.sum() == 30
+    assert abs(prior - (sum(truth.values()) + sum(1 - truth[i] for i in range(20))) / 400) < 1e-9
+    assert given.per_document.max() > 20_000  # whole texts, also long ones
