@@ -36,7 +36,7 @@ def test_awkward_vectors(spark):
     got = sorted(map(tuple, nearest.digest(frame).collect()))
     assert got == brute(stored, 10)
     few = nearest.usable(frame, "vec_id", "embedding")
-    split = nearest.search(few.filter("vec_id % 100 = 0"), few, 10, query_group=2, candidate_group=20)
+    split = nearest.search(few.filter("vec_id % 100 = 0"), few.repartition(7), 10, broadcast_bytes=100)  # many blocks
     assert sorted(map(tuple, split.collect())) == got
 
 
@@ -44,6 +44,19 @@ def test_empty(spark):
     assert nearest.digest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_one_id_with_several_vectors(spark):
+    rng = np.random.default_rng(1)
+    rows = [(100, [1.0, 0.0]), (100, [0.0, 5.0]), (100, [0.0, 5.0]), *[(i, rng.normal(size=2).tolist()) for i in range(1, 60)], (7, [9.0, 9.0])]
+    got = sorted(map(tuple, nearest.digest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()))
+    assert len(got) == 20 and got == brute(rows, 10)
+
+
+def test_many_equal_vectors(spark):
+    rows = [(i, [1.0, 2.0, 3.0]) for i in range(3000)] + [(100, [0.5, 2.0, 3.0])]
+    got = sorted(map(tuple, nearest.digest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()))
+    assert got == brute(rows, 10)
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.integers(0, 10_000), st.integers(1, 5), st.sampled_from([1e-6, 1.0, 1e6]))
 def test_bounds_hold(seed, dim, size):
