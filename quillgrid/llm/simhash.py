@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_id, give_back, key_id, materialise, packed, partitions, texts, unpacked
+from .common import as_id, discard, give_back, key_id, materialise, packed, partitions, scratch, texts, unpacked
 
 SEED = 42
 _CHUNK = 1 << 16
@@ -125,29 +125,35 @@ def _blocks(parts: int) -> list[tuple[int, int]]:
     return [(a, (1 << (b - a)) - 1) for a, b in zip(edges, edges[1:])]
 
 
-def links(codes: DataFrame, radius: int = 4, spare: int = 1) -> DataFrame:
-    """fp_a, fp_b: a spanning forest, shard by shard, of all pairs of distinct fp within ``radius`` bits.
+def _dealt(frame: DataFrame, pieces: list[tuple[int, int]], spare: int) -> DataFrame:
+    """shard, fp: every fp in the shard of each choice of ``spare`` pieces, inside the shard that it has, if any."""
 
-    ``spare`` blocks have to agree beside the ``radius`` that may differ: 1 gives radius + 1 shard
-    tables of about 64 / (radius + 1) bits, 2 gives more tables with longer keys, for more codes.
-    All values give the same links.
-    """
-    parts = radius + spare
-    pieces = _blocks(parts)
-    n_partitions = partitions(codes.sparkSession)
-    n_buckets = 4 * n_partitions
-
-    def shards(batches):
+    def run(batches):
         for batch in batches:
             fp = batch["fp"].to_numpy()
             bits = fp.view(np.uint64)
             cut = [(bits >> np.uint64(s)) & np.uint64(m) for s, m in pieces]
-            for number, chosen in enumerate(combinations(range(parts), spare)):
-                key = np.full(len(fp), number, np.uint64)
+            for number, chosen in enumerate(combinations(range(len(pieces)), spare)):
+                key = batch["shard"].to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(number)
                 for c in chosen:
                     key = key * np.uint64(0x9E3779B97F4A7C15) + cut[c]
-                bucket = ((key * np.uint64(0xD1B54A32D192ED03)) >> np.uint64(33)).astype(np.int64) % n_buckets
-                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(key.view(np.int64)), pa.array(fp)], ["bucket", "shard", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch["fp"]], ["shard", "fp"])
+
+    return frame.select("shard", "fp").mapInArrow(run, "shard long, fp long")
+
+
+def links(codes: DataFrame, n_codes: int, radius: int = 4, spare: int = 1, per_bucket: int = 1 << 17, hot_shard: int = 1 << 16) -> DataFrame:
+    """fp_a, fp_b: a spanning forest, shard by shard, of all pairs of the ``n_codes`` distinct fp within ``radius`` bits.
+
+    ``spare`` blocks have to agree beside the ``radius`` that may differ: 1 gives radius + 1 shard
+    tables of about 64 / (radius + 1) bits, 2 gives more tables with longer keys, for more codes.
+    Shards of over ``hot_shard`` codes are dealt once more, by finer blocks of the same bits: two codes that link
+    agree in one of these as well. Buckets of shards have about ``per_bucket`` codes. All values give the same links.
+    """
+    parts = radius + spare
+    n = partitions(codes.sparkSession)
+    tables = len(list(combinations(range(parts), spare)))
+    n_buckets = max(4 * n, -(-n_codes * tables // per_bucket))
 
     def join(table: pa.Table) -> pa.Table:
         shard, fp = table["shard"].to_numpy(), table["fp"].to_numpy()
@@ -162,8 +168,13 @@ def links(codes: DataFrame, radius: int = 4, spare: int = 1) -> DataFrame:
         child = np.flatnonzero(label != np.arange(len(label)))
         return pa.table({"fp_a": fp[child], "fp_b": fp[label[child]]})
 
-    exploded = codes.select("fp").mapInArrow(shards, "bucket long, shard long, fp long").withColumn("bucket", F.col("bucket").cast("int"))
-    return exploded.repartitionById(n_partitions, "bucket").groupBy("bucket").applyInArrow(join, "fp_a long, fp_b long").distinct()
+    shards = _dealt(codes.select(F.lit(0).cast("long").alias("shard"), "fp"), _blocks(parts), spare)
+    if n_codes > hot_shard:  # else no shard can have so many
+        hot = shards.groupBy("shard").count().filter(F.col("count") > hot_shard).select("shard")
+        finer = _dealt(shards.join(hot, "shard", "left_semi"), _blocks(parts + 1), spare + 1)
+        shards = shards.join(hot, "shard", "left_anti").unionAll(finer)
+    dealt = shards.withColumn("bucket", F.pmod(F.xxhash64("shard"), F.lit(n_buckets)).cast("int"))
+    return dealt.repartitionById(n, "bucket").groupBy("bucket").applyInArrow(join, "fp_a long, fp_b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -171,17 +182,21 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round is written to the shared folder, so lineage stays short and lost executors cost a round.
     """
-    now = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    with scratch() as rounds:
+        now = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     while True:
-        before = now
+        before, older = now, rounds
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        now = materialise(small.filter("a <> b").unionAll(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        with scratch() as rounds:
+            now = materialise(small.filter("a <> b").unionAll(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
         # equal edge sets: as many edges, none of them new
-        if now.count() == before.count() and now.join(before, ["a", "b"], "left_anti").isEmpty():
+        done = now.count() == before.count() and now.join(before, ["a", "b"], "left_anti").isEmpty()
+        discard(older)
+        if done:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
@@ -193,8 +208,9 @@ def labelled(documents: DataFrame, shingle: int = 4, radius: int = 4, marked: bo
     """
     prints = materialise(fingerprints(documents, shingle, marked), "fingerprints")
     codes = materialise(prints.groupBy("fp").agg(F.min("doc_key").alias("least")), "codes")
-    spare = 1 if codes.count() < 1 << 25 else 2  # longer shard keys for more codes; the links are the same
-    edges = links(codes, radius, spare)
+    n_codes = codes.count()
+    spare = 1 if n_codes < 1 << 25 else 2  # longer shard keys for more codes; the links are the same
+    edges = links(codes, n_codes, radius, spare)
     roots = components(edges.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")))
     members = codes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = members.groupBy("root").agg(F.min("least").alias("component"))
@@ -217,16 +233,6 @@ def near_duplicates(documents: DataFrame, shingle: int = 4, radius: int = 4) ->
 
 
 def keep_one(documents: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
-    """The rows and columns of one document of each component: the smallest id, one row where ids repeat.
-
-    For tables whose ids are keys; of components that share their smallest id one stays (see keep_each).
-    """
-    kept = labelled(documents, shingle, radius).filter("doc_key = component").select("doc_key").distinct()
-    rows = packed(documents).join(kept, "doc_key", "left_semi").dropDuplicates(["doc_key"])
-    return rows.select(*unpacked(rows, documents.columns))
-
-
-def keep_each(documents: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
     """The rows and columns of one document of every component, also where ids are null or shared by unrelated texts.
 
     The smallest id stays, of its texts the one with the smallest hash, and one row where both repeat.
