@@ -2,8 +2,9 @@
 
 Item and document texts are normalised alike (A-Z lower-cased, every other ASCII character that is
 no letter or digit a separator). The automaton is built once in each Python worker, from items whose
-size is checked on the driver side first: items beyond ``slice_bytes`` go to further automata, each
-of which scans the texts in its own pass, so what is broadcast at once stays bounded.
+size is checked first: items that could make more than ``slice_nodes`` nodes go to further automata, each
+with a pass over the texts of its own that returns what it found, so what a worker holds at once stays
+bounded.
 """
 
 from __future__ import annotations
@@ -20,53 +21,55 @@ from pyspark.sql import functions as F
 from .common import FOLD, as_id, folded_words, materialise, packed, texts, type_of
 
 _SPANS = pa.list_(pa.list_(pa.int64()))
-_BUILT: dict[str, ahocorasick.Automaton] = {}
+_BUILT: dict[str, ahocorasick.Automaton | None] = {}
 
 
-def _patterns(items: list[tuple[str, bytes | None]], window: int) -> dict[bytes, tuple[int, set[str]]]:
-    out: dict[bytes, tuple[int, set[str]]] = {}
+def build(items: list[tuple[str, bytes | None]], window: int) -> ahocorasick.Automaton | None:
+    """The automaton over the windows of all items; None if no item has a word."""
+    patterns: dict[bytes, tuple[int, set[str]]] = {}
     for item, text in items:
         words = folded_words(text)
         k = min(window, len(words))
         for i in range(len(words) - k + 1 if k else 0):
-            out.setdefault(b" %b " % b" ".join(words[i : i + k]), (k, set()))[1].add(item)
-    return out
-
-
-def _automaton(mark: str, items: list[tuple[str, bytes | None]], window: int) -> ahocorasick.Automaton | None:
-    """Built once in a worker process; None if no item has a word."""
+            patterns.setdefault(b" %b " % b" ".join(words[i : i + k]), (k, set()))[1].add(item)
+    if not patterns:
+        return None
+    automaton = ahocorasick.Automaton()
+    for pattern, (k, names) in patterns.items():
+        automaton.add_word(pattern.decode("latin-1"), (k, tuple(sorted(names))))
+    automaton.make_automaton()
+    return automaton
+
+
+def _machine(mark: str, items: list[tuple[str, bytes | None]], window: int) -> ahocorasick.Automaton | None:
+    """Built once in a worker process."""
     if mark not in _BUILT:
         _BUILT.clear()  # at most one stays in a worker
-        machine = ahocorasick.Automaton()
-        for pattern, (k, names) in _patterns(items, window).items():
-            machine.add_word(pattern.decode("latin-1"), (k, tuple(sorted(names))))
-        if len(machine):
-            machine.make_automaton()
-        _BUILT[mark] = machine if len(machine) else None
+        _BUILT[mark] = build(items, window)
     return _BUILT[mark]
 
 
-def scan(text: bytes | None, machine, spans=(), items=()) -> tuple[int, list[list[int]], list[str]]:
-    """Words of the text, merged [first, last + 1) word spans inside windows, items with windows there.
+def merged(spans) -> list[list[int]]:
+    """Spans in order, those that touch as one."""
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(b, out[-1][1])
+        else:
+            out.append([a, b])
+    return out
 
-    spans and items: what earlier automata have found in this text.
-    """
+
+def scan(text: bytes | None, automaton: ahocorasick.Automaton | None) -> tuple[int, list[list[int]], list[str]]:
+    """Words of the text, merged [first, last + 1) word spans inside windows, items with windows there."""
     words = folded_words(text)
-    spans, items = [list(x) for x in spans], set(items)
     line = b" %b " % b" ".join(words)
-    found = list(machine.iter(line.decode("latin-1"))) if words and machine is not None else []
-    if found:
-        before = np.cumsum(np.frombuffer(line, np.uint8) == 32)
-        merged: list[list[int]] = []
-        for a, b in sorted(spans + [[int(before[end]) - 1 - k, int(before[end]) - 1] for end, (k, _) in found]):
-            if merged and a <= merged[-1][1]:
-                merged[-1][1] = max(b, merged[-1][1])
-            else:
-                merged.append([a, b])
-        spans = merged
-        for _, (_, names) in found:
-            items.update(names)
-    return len(words), spans, sorted(items)
+    found = list(automaton.iter(line.decode("latin-1"))) if words and automaton is not None else []
+    if not found:
+        return len(words), [], []
+    before = np.cumsum(np.frombuffer(line, np.uint8) == 32)
+    spans = merged([int(before[end]) - 1 - k, int(before[end]) - 1] for end, (k, _) in found)
+    return len(words), spans, sorted({name for _, (_, names) in found for name in names})
 
 
 def original_spans(text: bytes, spans: list[list[int]]) -> list[list[int]]:
@@ -79,59 +82,80 @@ def original_spans(text: bytes, spans: list[list[int]]) -> list[list[int]]:
     return [[int(begins[a]), int(ends[b - 1])] for a, b in spans]
 
 
-def _slices(benchmark: DataFrame, slice_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
+def _slices(benchmark: DataFrame, window: int, slice_nodes: int) -> Iterator[list[tuple[str, bytes]]]:
     """The items in slices of bounded size; a slice at a time is on the driver."""
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8").alias("text"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.encode(text, "UTF-8").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = 1 + int(total) // slice_bytes
+    n = 1 + int(total) * window // slice_nodes  # a byte is in ``window`` windows
     part = F.pmod(F.xxhash64("item", "text"), F.lit(n))
     for k in range(n):
-        yield [(r.item, bytes(r.text)) for r in rows.filter(part == k).distinct().toLocalIterator()]
+        yield [(r.item, bytes(r.text)) for r in rows.filter(part == k).select("item", "text").distinct().toLocalIterator()]
 
 
-def find(documents: DataFrame, benchmark: DataFrame, window: int = 13, slice_bytes: int = 4 << 20, carry: bool = False) -> DataFrame:
+def find(documents: DataFrame, benchmark: DataFrame, window: int = 13, slice_nodes: int = 1 << 22, carry: bool = False) -> DataFrame:
     """doc_key (with carry, also text and row), n_words, spans (of words), items, byte_spans (in the text's UTF-8), row by row of documents.
 
     An item shorter than a window, but not empty, is one window; empty and null items have none. A
     null text has no words. Items with one id count as one; a null item_id counts as the item "null".
-    Repeated documents are judged one by one.
+    Repeated documents are judged one by one. A node is about 40 bytes in a worker and twice that while they
+    are made, so the default bound is about 170 MB, from 0.3 MB of items.
     """
     spark = documents.sparkSession
-    found = "n_words long, spans array<array<long>>, items array<string>"
     rows = packed(documents)
     if not carry:
         rows = rows.select("doc_key", "text")
-    carried = rows.columns
-    given = {True: [c for c in carried if carry or c == "doc_key"], False: carried}
-    schema = {last: ", ".join(f"{c} {type_of(rows, c)}" for c in names) for last, names in given.items()}
-    nothing = {"n_words": F.lit(None).cast("long"), "spans": F.array().cast("array<array<long>>"), "items": F.array().cast("array<string>")}
-    rows = rows.withColumns(nothing)
 
-    def scanning(items, last: bool):
+    def machines(items):
         mark = hashlib.sha256(repr((window, sorted(items))).encode()).hexdigest()
         sent = spark.sparkContext.broadcast(items)
+        return lambda: _machine(mark, sent.value, window)
+
+    def hits(items) -> DataFrame:
+        """doc_key, mark, spans, items of the rows where this slice's items are found, written to the shared folder."""
+        machine = machines(items)
 
         def run(batches):
-            machine = _automaton(mark, sent.value, window)
             for batch in batches:
-                raw = texts(batch["text"])
-                out = [scan(*x) for x in zip(raw, [machine] * len(raw), batch["spans"].to_pylist(), batch["items"].to_pylist())]
-                columns = {c: batch[c] for c in given[last]} | {
-                    "n_words": pa.array([x[0] for x in out], pa.int64()),
-                    "spans": pa.array([x[1] for x in out], _SPANS), "items": pa.array([x[2] for x in out], pa.list_(pa.string())),
-                }
-                if last:
-                    columns["byte_spans"] = pa.array([original_spans(t, x[1]) for t, x in zip(raw, out)], _SPANS)
-                yield pa.RecordBatch.from_pydict(columns)
-
-        return run
-
-    slices = _slices(benchmark, slice_bytes)
-    now = next(slices)
-    for later in slices:  # one automaton at a time is in a worker's memory
-        rows = materialise(rows.mapInArrow(scanning(now, False), f"{schema[False]}, {found}"), "scan")
+                out = [(i, *scan(t, machine())[1:]) for i, t in enumerate(texts(batch["text"]))]
+                out = [x for x in out if x[1]]
+                at = pa.array([x[0] for x in out], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch["doc_key"].take(at), batch["mark"].take(at), pa.array([x[1] for x in out], _SPANS), pa.array([x[2] for x in out], pa.list_(pa.string()))], ["doc_key", "mark", "spans", "items"])
+
+        marked = rows.select("doc_key", "text", F.xxhash64("text").alias("mark"))
+        return materialise(marked.mapInArrow(run, "doc_key long, mark long, spans array<array<long>>, items array<string>"), "hits")
+
+    slices = _slices(benchmark, window, slice_nodes)
+    now, others = next(slices), None
+    for later in slices:
+        found = hits(now)
+        others = found if others is None else others.unionAll(found)
         now = later
-    return rows.mapInArrow(scanning(now, True), f"{schema[True]}, {found}, byte_spans array<array<long>>")
+    carried = rows.columns
+    rows = rows.withColumns({"other_spans": F.lit(None).cast("array<array<long>>"), "other_items": F.lit(None).cast("array<string>")}) if others is None else _joined(rows, others)
+    given = [c for c in carried if carry or c == "doc_key"]
+    machine = machines(now)
+
+    def run(batches):
+        for batch in batches:
+            raw, out = texts(batch["text"]), []
+            for t, spans, items in zip(raw, batch["other_spans"].to_pylist(), batch["other_items"].to_pylist()):
+                n, own, names = scan(t, machine())
+                out.append((n, merged([*own, *spans]), sorted({*names, *items})) if spans else (n, own, names))
+            yield pa.RecordBatch.from_pydict({c: batch[c] for c in given} | {
+                "n_words": pa.array([x[0] for x in out], pa.int64()), "spans": pa.array([x[1] for x in out], _SPANS),
+                "items": pa.array([x[2] for x in out], pa.list_(pa.string())),
+                "byte_spans": pa.array([original_spans(t, x[1]) for t, x in zip(raw, out)], _SPANS),
+            })
+
+    schema = ", ".join(f"{c} {type_of(rows, c)}" for c in given)
+    return rows.mapInArrow(run, f"{schema}, n_words long, spans array<array<long>>, items array<string>, byte_spans array<array<long>>")
+
+
+def _joined(rows: DataFrame, others: DataFrame) -> DataFrame:
+    """rows with what the other slices found in them; texts without a hit have none."""
+    found = others.groupBy("doc_key", "mark").agg(F.array_distinct(F.flatten(F.collect_set("spans"))).alias("other_spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("other_items"))
+    return rows.withColumn("mark", F.xxhash64("text")).join(found, ["doc_key", "mark"], "left").drop("mark")
 
 
 def n_hit() -> Column:

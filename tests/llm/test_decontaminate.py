@@ -39,7 +39,7 @@ def test_awkward_rows(spark, items):
     want = brute([(r.doc_id, r.text) for r in frame.collect()], [(r.item_id, r.text) for r in items.collect()])
     assert Counter(map(tuple, decontaminate.digest(frame, items).collect())) == want
     # many small automata find what one finds
-    assert Counter(map(tuple, decontaminate.digest(frame, items, slice_bytes=200).collect())) == want
+    assert Counter(map(tuple, decontaminate.digest(frame, items, slice_nodes=2000).collect())) == want
 
 
 def test_empty_tables(spark, items):
@@ -53,3 +53,12 @@ def test_byte_spans_point_into_the_text(spark, items):
         words = folded_words(r.text)
         raw = (r.text or "").encode()
         assert [folded_words(raw[a:b].decode()) for a, b in r.byte_spans] == [words[a:b] for a, b in r.spans]
+
+
+def test_a_worker_holds_bounded_nodes():
+    """At the bound of a slice: words that differ, so hardly a window shares a node with another."""
+    words = [f"w{i * 7919 % 100003}" for i in range((1 << 22) // 13 // 7)]
+    text = " ".join(words).encode()
+    assert 0.9 * (1 << 22) < 13 * len(text) <= 1 << 22
+    stats = decontaminate.build([("1", text)], 13).get_stats()
+    assert stats["nodes_count"] <= 1 << 22 and stats["total_size"] < 200e6
