@@ -7,7 +7,8 @@ A bucket sorts its windows, compares equal hashes word by word, and finds the sm
 each window exactly.
 
 Runs of words that a bounded sample shows to be frequent come last in the order of minimisers, so that
-common phrases do not draw windows to one bucket.
+common phrases do not draw windows to one bucket; a window of nothing but such runs goes to the bucket of
+its own hash instead, so that no frequent run has all its windows in one bucket.
 
 Plan: documents are dealt into hash batches (one shuffle of the text, used by both passes). Pass one
 sends each *distinct* super-k-mer of a batch once, with the smallest and largest document that has
@@ -110,14 +111,13 @@ def _word_runs(h: np.ndarray, m: int) -> np.ndarray:
     return mix64(x[: n - m + 1])
 
 
-def _frequent_runs(documents: DataFrame, m: int, sample: int, share: float) -> np.ndarray:
+def _frequent_runs(documents: DataFrame, total: int, m: int, sample: int, share: float) -> np.ndarray:
     """Hash slots of the runs of m words that make up over ``share`` of a bounded sample's runs.
 
-    A minimiser is a function of the window alone whatever the slots are, so results do not hang on
+    The sample is about ``sample`` of the ``total`` documents, of those with at most 16 KB of text. A minimiser is a function of the window alone whatever the slots are, so results do not hang on
     the sample; but with frequent runs put last, no common phrase draws a large part of all windows
     to its bucket.
     """
-    total = documents.count()
     some = documents.filter(keep_share(F.col("doc_key").cast("string"), sample / max(total, 1)) & (F.octet_length("text") <= 1 << 14))
     counts = np.zeros(1 << _SLOT_BITS, np.int64)
     for row in some.select("text").limit(2 * sample).toLocalIterator():
@@ -148,8 +148,10 @@ class _Batch:
         buffer = np.frombuffer(self.joined, np.uint8)
         ends = np.concatenate([np.flatnonzero(buffer == 32), [len(buffer)]])[: int(self.bounds[-1])]
         self.starts = np.concatenate([[0], ends + 1])  # one more than there are words
-        self.hashes = _Hashes(buffer).of(self.starts[:-1], ends)
+        self.codes = _Hashes(buffer)
+        self.hashes = self.codes.of(self.starts[:-1], ends)
         self.kmers(self.hashes, counts, minimiser)
+        self.codes = None
 
     def kmers(self, h: np.ndarray, counts: np.ndarray, m: int) -> None:
         """first, windows, least hash, document of every super-k-mer; entry numbers of equal strings."""
@@ -160,6 +162,9 @@ class _Batch:
             if self.frequent is not None:  # frequent runs come after all others
                 x = (x >> np.uint64(1)) | (self.frequent[x >> np.uint64(64 - _SLOT_BITS)].astype(np.uint64) << np.uint64(63))
             least = _sliding_min(x, k - m + 1)
+            if self.frequent is not None and len(only := np.flatnonzero(least >> np.uint64(63))):  # windows of frequent runs only
+                own = self.codes.of(self.starts[only], self.starts[only + k] - 1)
+                least[only] = mix64(own) | (np.uint64(1) << np.uint64(63))
             document = np.repeat(np.arange(len(counts)), counts)
             fits = document[: n - k + 1] == document[k - 1 :]
             at = np.flatnonzero(fits)
@@ -315,8 +320,9 @@ _ANSWER_ARROW = pa.schema([("batch", pa.int32()), ("runs", pa.binary())])
 
 
 def remove_repeats(
-    documents: DataFrame, window: int = 13, minimiser: int = 2, batches_per_partition: int = 4,
-    buckets_per_partition: int = 1, keep_text: bool = True, carry: bool = False, sample: int = 2000, frequent_share: float = 5e-5,
+    documents: DataFrame, window: int = 13, minimiser: int = 2, batches_per_partition: int = 4, buckets_per_partition: int = 1,
+    batch_bytes: int = 1 << 22, bucket_bytes: int = 1 << 24, keep_text: bool = True, carry: bool = False, sample: int = 2000,
+    frequent_share: float = 5e-5,
 ) -> DataFrame:
     """``doc_key, n_words, n_removed, kept, kept_sha256`` for every row; kept: the words left, joined by
     one space, or the text as it came where none went; with carry, also ``row``, a struct of all columns but text.
@@ -325,13 +331,19 @@ def remove_repeats(
     starts in a document with a smaller id. Null texts have no words; texts shorter than a window
     lose nothing; rows with one id (repeated rows) never remove each other's words; a null id counts
     as larger than all others. An empty table gives an empty result. Only doc_id and text are read.
+
+    A batch has about ``batch_bytes`` of text and a bucket the windows of about ``bucket_bytes``, whatever
+    the number of partitions is; there are more of both where partitions would have less work otherwise.
     """
     if not 0 < minimiser <= window:
         raise ValueError("the minimiser has to fit into the window")
     spark = documents.sparkSession
     n = partitions(spark)
-    n_batches, n_buckets = n * batches_per_partition, n * buckets_per_partition
     rows = packed(documents)
+    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    # as many for each partition, so that none has twice the work of another
+    n_batches = n * max(batches_per_partition, -(-size.bytes // (n * batch_bytes)))
+    n_buckets = n * max(buckets_per_partition, -(-size.bytes // (n * bucket_bytes)))
     if not carry:
         rows = rows.withColumn("row", F.lit(None).cast("boolean"))
     kind = type_of(rows, "row")
@@ -339,7 +351,7 @@ def remove_repeats(
     # by number, so that each partition has as many batches and buckets as any other
     dealt = dealt.repartitionById(n, "batch")
 
-    frequent = spark.sparkContext.broadcast(_frequent_runs(rows, minimiser, sample, frequent_share))  # one byte a slot: 1 MB
+    frequent = spark.sparkContext.broadcast(_frequent_runs(rows, size.n, minimiser, sample, frequent_share))  # one byte a slot: 1 MB
 
     def pack(table: pa.Table) -> pa.Table:
         batch = _Batch(table["doc_key"].to_pylist(), texts(table["text"]), window, minimiser, frequent.value)

@@ -65,14 +65,36 @@ def test_hash_collisions_are_told_apart(monkeypatch):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.lists(st.sampled_from("abc"), max_size=14), min_size=1, max_size=6), st.integers(1, 4), st.integers(1, 4))
-def test_any_small_corpus(documents, window, minimiser):
+@given(st.lists(st.lists(st.sampled_from("abc"), max_size=14), min_size=1, max_size=6), st.integers(1, 4), st.integers(1, 4), st.sampled_from([None, 0.0, 0.5, 1.0]))
+def test_any_small_corpus(documents, window, minimiser, frequent):
+    slots = None if frequent is None else np.random.default_rng(1).random(1 << 20) < frequent
     raw = [" ".join(d).encode() for d in documents]
     ids = list(range(len(raw)))
-    batch = substring_dedup._Batch(ids, raw, window, min(minimiser, window))
+    batch = substring_dedup._Batch(ids, raw, window, min(minimiser, window), slots)
     buckets = {}
     for p in batch.packed(0, 3):
         buckets.setdefault(p["bucket"], []).append((0, p["packed"], p["entries"]))
     runs = [np.frombuffer(substring_dedup._unzip(x["runs"]), substring_dedup._RUN) for rows in buckets.values() for x in substring_dedup._owners(rows, window)]
     gone = batch.removed(np.concatenate(runs) if runs else np.zeros(0, substring_dedup._RUN))
     assert [int(gone[a:b].sum()) for a, b in zip(batch.bounds, batch.bounds[1:])] == [g for _, _, g, _ in brute(list(zip(ids, [r.decode() for r in raw])), window)]
+
+
+def test_small_batches_and_buckets(spark):
+    frame = awkward_documents(spark)
+    one = Counter(map(tuple, substring_dedup.digest(frame).collect()))
+    assert Counter(map(tuple, substring_dedup.digest(frame, batch_bytes=2000, bucket_bytes=2000).collect())) == one
+
+
+def test_windows_of_a_frequent_phrase_spread(spark):
+    """Every pair of words is frequent: all windows would go to the buckets of a few pairs."""
+    rng = np.random.default_rng(2)
+    texts = [" ".join(rng.choice(["as", "is", "it"], 60)) for _ in range(200)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    frequent = substring_dedup._frequent_runs(frame.withColumnRenamed("doc_id", "doc_key"), 200, 2, 2000, 5e-5)
+    share = []
+    for slots in (None, frequent):
+        batch = substring_dedup._Batch(list(range(200)), [t.encode() for t in texts], 13, 2, slots)
+        sizes = [len(np.frombuffer(substring_dedup._unzip(p["entries"]), substring_dedup._ENTRY)) for p in batch.packed(0, 64)]
+        share.append(max(sizes) / sum(sizes))
+    assert share[0] > 0.15 and share[1] < 0.03
+    check(frame)
