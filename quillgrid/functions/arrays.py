@@ -72,22 +72,38 @@ def inverse(a: Column) -> Column:
     return _solver("inv")(a)
 
 
+def solve(a: Column, constants: Column) -> Column:
+    """x with a x = constants; null where the system is singular or the shapes differ."""
+    return _solver("solve")(F.zip_with(a, constants, lambda row, c: F.concat(row, F.array(c))))
+
+
 def _solver(kind: str):
-    def matrix(m):
-        return np.array([list(map(float, r)) for r in m])
-
-    def apply(m):
-        if m is None:
-            return None
-        x = matrix(m)
-        d = np.linalg.det(x)
+    def batch(x: np.ndarray) -> list:
+        """Matrices of one shape, together; for solve the last column has the constants."""
+        m = x[:, :, : x.shape[1]]
+        if m.shape[1] != m.shape[2]:
+            return [None] * len(x)
+        d = np.linalg.det(m)
         if kind == "det":
-            return float(d)
-        return None if abs(d) <= 1e-12 * max(1.0, np.abs(x).max()) ** len(x) else np.linalg.inv(x).tolist()
-
-    @F.pandas_udf("double" if kind == "det" else "array<array<double>>")
+            return d.tolist()
+        sound = np.isfinite(d) & (np.abs(d) > 1e-12 * np.maximum(1.0, np.abs(m).max((1, 2))) ** m.shape[1])
+        out: list = [None] * len(x)
+        if sound.any():
+            found = np.linalg.inv(m[sound]) if kind == "inv" else np.linalg.solve(m[sound], x[sound][:, :, -1:])[:, :, 0]
+            for i, row in zip(np.flatnonzero(sound), found.tolist()):
+                out[i] = row
+        return out
+
+    @F.pandas_udf({"det": "double", "inv": "array<array<double>>", "solve": "array<double>"}[kind])
     def f(s: pd.Series) -> pd.Series:
-        return s.map(apply)
+        out, shapes = [None] * len(s), {}
+        for i, m in enumerate(s):
+            if m is not None and len(m) and all(r is not None and len(r) == len(m[0]) for r in m) and len(m[0]) == len(m) + (kind == "solve"):
+                shapes.setdefault(len(m), []).append((i, m))
+        for group in shapes.values():
+            for (i, _), value in zip(group, batch(np.array([[list(map(float, r)) for r in m] for _, m in group]))):
+                out[i] = value
+        return pd.Series(out, dtype="float64" if kind == "det" else object)
 
     return f
 

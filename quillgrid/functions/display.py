@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .cell import NA, VALUE, Cell, number, of, result
@@ -27,21 +29,30 @@ def _below_thousand(n: Column) -> Column:
 
 
 def spell_integer(x) -> Cell:
-    """Whole numbers below 10**15 in English."""
+    """Whole numbers from 0 below 10**15 in English; others are refused."""
     n = number(x)
     whole = F.abs(n.value).cast("long")
     parts = [F.when(F.floor(whole / 10 ** (3 * (4 - i))) % 1000 > 0, F.trim(F.concat(_below_thousand(F.floor(whole / 10 ** (3 * (4 - i))) % 1000), F.lit(f" {s}")))) for i, s in enumerate(SCALES)]
-    text = F.when(whole == 0, "zero").otherwise(F.concat_ws(" ", F.when(n.value < 0, "minus"), *parts))
-    return result(text, n, fails=[((n.value != F.floor(n.value)) | (F.abs(n.value) >= 1e15), VALUE)])
+    text = F.when(whole == 0, "zero").otherwise(F.concat_ws(" ", *parts))
+    return result(text, n, fails=[((n.value != F.floor(n.value)) | (n.value < 0) | (n.value >= 1e15), VALUE)])
+
+
+#: Whole amounts in words; a fraction is refused, spell_money takes it.
+spell_number = spell_integer
 
 
 def spell_money(x) -> Cell:
-    """``twelve dollars and 05/100``."""
+    """``twelve dollars and 05/100``; negative amounts are refused."""
     n = number(x)
     cents = F.rint(F.abs(n.value) * 100).cast("long")
-    dollars = spell_integer(F.floor(cents / 100) * F.when(n.value < 0, -1).otherwise(1))
+    dollars = spell_integer(F.floor(cents / 100) * F.when(n.value < 0, F.lit(None)).otherwise(1))
     text = F.concat(dollars.value, F.when(F.floor(cents / 100) == 1, " dollar").otherwise(" dollars"), F.lit(" and "), F.lpad((cents % 100).cast("string"), 2, "0"), F.lit("/100"))
-    return result(text, n, dollars)
+    return result(text, n, dollars, fails=[(n.value < 0, VALUE)])
+
+
+def cross_rate(source, target, rates: dict[str, float]) -> Cell:
+    """Units of target for one of source."""
+    return convert_currency(1.0, source, target, rates)
 
 
 def render_number(x, locale: str, decimals: int = 2) -> Column:
@@ -93,11 +104,15 @@ def bar(x: Column, least: float, most: float, width: int = 40) -> Column:
     return F.concat(F.lpad(F.repeat(F.lit("#"), left), pad, " "), F.lit("|"), F.repeat(F.lit("#"), right)) if pad else F.concat(F.lit("|"), F.repeat(F.lit("#"), right))
 
 
+#: The levels of a sparkline, from the least to the greatest.
+RAMP = " .:-=+*#"
+
+
 def sparkline(series: Column) -> Column:
-    """One of eight levels for each number of an array."""
+    """A level of the ramp for each number of an array; a flat one is at the top."""
     low, high = F.array_min(series), F.array_max(series)
-    level = lambda x: F.coalesce(F.floor(F.try_divide(x - low, high - low) * 7 + 0.5), F.lit(3))
-    return F.array_join(F.transform(series, lambda x: F.substring(F.lit("▁▂▃▄▅▆▇█"), (level(x) + 1).cast("int"), F.lit(1))), "")
+    level = lambda x: F.coalesce(F.rint(F.try_divide(x - low, high - low) * (len(RAMP) - 1)), F.lit(len(RAMP) - 1.0))
+    return F.array_join(F.transform(series, lambda x: F.substring(F.lit(RAMP), (level(x) + 1).cast("int"), F.lit(1))), "")
 
 
 def band(x: Column, least: Column, most: Column, bands: int = 4) -> Column:
@@ -106,12 +121,44 @@ def band(x: Column, least: Column, most: Column, bands: int = 4) -> Column:
     return F.coalesce(F.least(place, F.lit(bands - 1)), F.lit(bands // 2)).cast("int")
 
 
-def nice_ticks(low: float, high: float, target: int = 5) -> list[float]:
-    """Axis ticks that cover low to high in steps of 1, 2 or 5 times a power of ten."""
-    import math
+def band_around(x: Column, least: Column, middle: Column, most: Column, bands: int = 4) -> Column:
+    """A scale with a midpoint: -bands to -1 below it, 0 on it, 1 to bands above; each half has its own span."""
+    place = lambda far, near: F.least(F.floor(F.coalesce(F.try_divide(F.abs(x - near), F.abs(far - near)), F.lit(0.0)) * bands) + 1, F.lit(bands))
+    return F.when(x < middle, -place(least, middle)).when(x > middle, place(most, middle)).otherwise(0).cast("int")
 
-    raw = (high - low or 1.0) / max(target, 1)
+
+def color_between(share: Column, start: tuple[int, int, int], end: tuple[int, int, int]) -> Column:
+    """``#RRGGBB`` on the way from one color to another."""
+    part = lambda a, b: F.lpad(F.hex(F.rint(a + (b - a) * share).cast("int")), 2, "0")
+    return F.concat(F.lit("#"), *[part(a, b) for a, b in zip(start, end)])
+
+
+#: Steps of an axis by the leading digits that they stand for (the usual 1, 2, 5, 10).
+_STEPS = ((1.5, 1), (3.0, 2), (7.0, 5), (math.inf, 10))
+
+
+def nice_step(raw: float) -> float:
+    """The step of 1, 2 or 5 times a power of ten next to a raw one."""
+    if raw <= 0:
+        raise ValueError("a step is positive")
     power = 10.0 ** math.floor(math.log10(raw))
-    step = power * next(s for s, upto in ((1, 1.5), (2, 3), (5, 7), (10, math.inf)) if raw / power < upto)
-    first, last = math.floor(low / step), math.ceil(high / step)
-    return [i * step for i in range(first, last + 1)]
+    return power * next(step for upto, step in _STEPS if raw / power < upto)
+
+
+def nice_ticks(low: float, high: float, target: int = 5) -> list[float]:
+    """About ``target`` axis ticks that cover low to high; a point has an axis of length 1."""
+    if high < low or target < 2:
+        raise ValueError("an axis goes up and has two ticks at least")
+    high = high if high > low else low + 1.0
+    step = nice_step((high - low) / (target - 1))
+    first = math.floor(low / step)
+    last = math.ceil((high - 1e-9) / step)
+    return [round(i * step, 10) for i in range(first, max(last, first) + 1)]
+
+
+def axis(df: DataFrame, value: str, target: int = 5) -> list[float]:
+    """Ticks for a column's bars, which begin at zero."""
+    ends = df.agg(F.min(F.col(value).cast("double")).alias("low"), F.max(F.col(value).cast("double")).alias("high")).first()
+    if ends.low is None:
+        raise ValueError("no numbers, no axis")
+    return nice_ticks(min(0.0, ends.low), max(0.0, ends.high), target)

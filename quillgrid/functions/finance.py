@@ -56,6 +56,25 @@ def bisect(f, low: Column, high: Column, steps: int = 200) -> Column:
     return (done["lo"] + done["hi"]) / 2
 
 
+def minimize(f, low: Column, high: Column, steps: int = 80) -> Column:
+    """The input between low and high at which f, with one valley there, is least: golden sections, row by row."""
+    share = (5**0.5 - 1) / 2
+
+    def narrow(s, _):
+        a, b = s["a"], s["b"]
+        left, right = b - share * (b - a), a + share * (b - a)
+        below = f(left) < f(right)
+        return F.struct(F.when(below, a).otherwise(left).alias("a"), F.when(below, right).otherwise(b).alias("b"))
+
+    start = F.struct(low.cast("double").alias("a"), high.cast("double").alias("b"))
+    end = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, narrow)
+    return (end["a"] + end["b"]) / 2
+
+
+def maximize(f, low: Column, high: Column, steps: int = 80) -> Column:
+    return minimize(lambda x: -f(x), low, high, steps)
+
+
 def RATE(periods, payment, pv):
     cells, (n, p, v) = _numbers(periods, payment, pv)
     balance = lambda r: F.when(F.abs(r) < 1e-12, v + p * n).otherwise(v + p * (1 - _growth(r, -n)) / r)

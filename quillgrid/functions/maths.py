@@ -275,8 +275,8 @@ def BITXOR(a, b):
 #: Units by family, as (scale, offset) to the family's base unit: base = x * scale + offset.
 UNITS = {
     "length": {"m": (1, 0), "km": (1000, 0), "cm": (0.01, 0), "mm": (0.001, 0), "mi": (1609.344, 0), "yd": (0.9144, 0), "ft": (0.3048, 0), "in": (0.0254, 0)},
-    "mass": {"g": (1, 0), "kg": (1000, 0), "mg": (0.001, 0), "lb": (453.59237, 0), "oz": (28.349523125, 0)},
-    "time": {"s": (1, 0), "min": (60, 0), "h": (3600, 0), "day": (86400, 0)},
+    "mass": {"g": (1, 0), "kg": (1000, 0), "mg": (0.001, 0), "lbm": (453.59237, 0), "oz": (28.349523125, 0)},
+    "time": {"sec": (1, 0), "min": (60, 0), "hr": (3600, 0), "day": (86400, 0)},
     "temperature": {"C": (1, 0), "F": (5 / 9, -160 / 9), "K": (1, -273.15)},
 }
 
@@ -312,3 +312,16 @@ def prime_factors(n: Column) -> Column:
     return F.transform(F.array_distinct(every), lambda p: F.struct(p.alias("prime"), F.size(F.filter(every, lambda x: x == p)).alias("power")))
 
 
+def next_prime(n, ceiling: int = 1_000_000) -> Cell:
+    """The first prime over n, up to the ceiling; gaps below 2**31 are shorter than 336."""
+    k = number(n)
+    base = F.greatest(F.floor(k.value), F.lit(1)).cast("long")
+    after = F.transform(F.sequence(F.lit(1), F.lit(336)), lambda i: base + i)
+    found = F.element_at(F.filter(after, is_prime), 1)
+    return result(found, k, fails=[(F.coalesce(found > ceiling, F.lit(True)), NUM)])
+
+
+def product_of(factors: Column) -> Column:
+    """The number that prime_factors came from."""
+    power = lambda f: F.aggregate(F.array_repeat(f["prime"], f["power"]), F.lit(1).cast("long"), lambda a, x: a * x)
+    return F.aggregate(factors, F.lit(1).cast("long"), lambda a, f: a * power(f))

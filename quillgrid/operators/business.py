@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import finance
+from ..functions.cell import VALUE
 
 
 def allocate(df: DataFrame, partition: list[str], whole: str, weight: str, tie: str, name: str = "allocated") -> DataFrame:
@@ -93,15 +94,63 @@ def unit_prices(df: DataFrame, partition: list[str], price: str, quantity: str,
 
 
 def grades(df: DataFrame, student: str, category: str, score: str, weights: dict[str, float], drop_lowest: int = 0) -> DataFrame:
-    """Weighted percentage over the categories that have scores, the lowest dropped in each; and a letter."""
-    kept = F.slice(F.sort_array(F.collect_list(score), asc=False), F.lit(1), F.greatest(F.count(score) - drop_lowest, F.lit(1)).cast("int"))
-    means = df.groupBy(student, category).agg(kept.alias("kept")).withColumn("mean", F.aggregate("kept", F.lit(0.0), lambda a, x: a + x) / F.size("kept"))
-    weight = F.lit(0.0)
-    for name, w in weights.items():
-        weight = F.when(F.col(category) == name, w).otherwise(weight)
-    out = means.groupBy(student).agg(F.try_divide(F.sum(F.col("mean") * weight), F.sum(weight)).alias("percentage"))
+    """percentage over the categories that have scores, by weights that add up to 1, the lowest dropped in each; letter, error.
+
+    A category whose scores would all be dropped has no average, and its student the error #VALUE!.
+    """
+    if abs(sum(weights.values()) - 1) > 1e-9:
+        raise ValueError(f"the weights add up to {sum(weights.values())}, not to 1")
+    rows = df.filter(F.col(score).isNotNull() & F.col(category).isin(list(weights)))
+    place = F.row_number().over(Window.partitionBy(student, category).orderBy(score))
+    rows = rows.withColumn("_place", place) if drop_lowest else rows.withColumn("_place", F.lit(1))
+    means = rows.groupBy(student, category).agg(F.avg(F.when(F.col("_place") > drop_lowest, F.col(score).cast("double"))).alias("mean"))
+    weight = F.element_at(F.create_map(*[F.lit(x) for kv in weights.items() for x in (kv[0], float(kv[1]))]), F.col(category))
+    live = F.sum(weight)
+    out = means.groupBy(student).agg(F.when(F.count("mean") == F.count(F.lit(1)), F.try_divide(F.sum(F.col("mean") * weight), live)).alias("percentage"))
     p = F.col("percentage")
-    return out.withColumn("letter", F.when(p >= 90, "A").when(p >= 80, "B").when(p >= 70, "C").when(p >= 60, "D").otherwise("F"))
+    out = out.withColumn("letter", F.when(p >= 90, "A").when(p >= 80, "B").when(p >= 70, "C").when(p >= 60, "D").when(p.isNotNull(), "F"))
+    return out.withColumn("error", F.when(p.isNull(), VALUE))
+
+
+def _bill(subtotal: Column, tax_rate: float, tip_rate: float, tip_on_pretax: bool) -> Column:
+    if tax_rate < 0 or tip_rate < 0:
+        raise ValueError("rates are not negative")
+    tax = subtotal * tax_rate
+    return F.rint((subtotal + tax + (subtotal if tip_on_pretax else subtotal + tax) * tip_rate) * 100)
+
+
+def split_evenly(df: DataFrame, bill: str, subtotal: str, diners: int, tax_rate: float = 0.0, tip_rate: float = 0.0, tip_on_pretax: bool = True) -> DataFrame:
+    """bill, diner, share of each bill, in cents that add up: the first diners have the odd ones."""
+    if diners < 1:
+        raise ValueError("a bill has a diner at least")
+    cents = _bill(F.col(subtotal).cast("double"), tax_rate, tip_rate, tip_on_pretax).cast("long")
+    rows = df.filter(F.col(subtotal) >= 0).select(bill, cents.alias("_cents"), F.explode(F.sequence(F.lit(1), F.lit(diners))).alias("diner"))
+    return rows.select(bill, "diner", ((F.floor(F.col("_cents") / diners) + F.when(F.col("diner") <= F.col("_cents") % diners, 1).otherwise(0)) / 100).alias("share"))
+
+
+def split_by_order(df: DataFrame, bill: str, diner: str, order: str, tax_rate: float = 0.0, tip_rate: float = 0.0, tip_on_pretax: bool = True) -> DataFrame:
+    """bill, diner, share: each bill's cents by what its diners ordered, the largest remainders first."""
+    whole = Window.partitionBy(bill)
+    rows = df.filter(F.col(order) >= 0).select(bill, diner, F.col(order).cast("double").alias("_order"))
+    rows = rows.withColumn("_cents", _bill(F.sum("_order").over(whole), tax_rate, tip_rate, tip_on_pretax)).filter(F.col("_cents") > 0)
+    return allocate(rows, [bill], "_cents", "_order", diner, "_share").select(bill, diner, (F.col("_share") / 100).alias("share"))
+
+
+def net_variance(lines: DataFrame) -> DataFrame:
+    """The sum of all variances of ``variance_lines``."""
+    return lines.agg(F.round(F.coalesce(F.sum("variance"), F.lit(0.0)), 10).alias("net_variance"))
+
+
+def gantt(tasks: DataFrame, width: int = 40) -> DataFrame:
+    """task, start and bar of each scheduled task (task, start, finish, slack, critical): # critical, = others, dots of slack, * for a point."""
+    if width < 4:
+        raise ValueError("a chart has four columns at least")
+    end = tasks.agg(F.max("finish").alias("_end"))
+    column = lambda x: F.rint(x / F.col("_end") * width).cast("int")
+    first, last = column(F.col("start")), column(F.col("finish"))
+    bar = F.when(last == first, F.lit("*")).otherwise(F.repeat(F.when(F.col("critical"), "#").otherwise("="), last - first))
+    text = F.concat(F.repeat(F.lit(" "), first), bar, F.repeat(F.lit("."), column(F.col("slack"))), F.when(F.col("critical"), " (critical)").otherwise(""))
+    return tasks.join(F.broadcast(end)).filter(F.col("_end") > 0).select("task", "start", text.alias("bar"))
 
 
 def paystubs(df: DataFrame, gross: str, pretax: str, posttax: str, brackets: list[tuple[float, float]]) -> DataFrame:

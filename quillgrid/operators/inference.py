@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.finance import bisect
@@ -58,14 +58,16 @@ def mean_interval(df: DataFrame, partition: list[str], value: str, z: float) ->
 
 def percentile_exclusive(df: DataFrame, partition: list[str], value: str, p: float) -> DataFrame:
     """At place p * (n + 1), between neighbours; blank outside the first and last."""
-    # the inclusive percentile at the same place
-    n = F.count(value)
-    rows = df.groupBy(*partition).agg(F.sort_array(F.collect_list(F.col(value).cast("double"))).alias("_v"), n.alias("n"))
-    place = F.lit(p) * (F.col("n") + 1)
-    low = F.get("_v", (F.floor(place) - 1).cast("int"))
-    high = F.get("_v", F.floor(place).cast("int"))
-    out = F.when((place >= 1) & (place <= F.col("n")), low + (place - F.floor(place)) * (F.coalesce(high, low) - low))
-    return rows.select(*partition, out.alias("percentile"))
+    x = F.col(value).cast("double")
+    counts = df.filter(x.isNotNull()).groupBy(*partition, x.alias("_v")).agg(F.count(F.lit(1)).alias("_k"))
+    whole = Window.partitionBy(*partition)
+    upto, n = F.sum("_k").over(whole.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)), F.sum("_k").over(whole)
+    rows = counts.withColumn("_upto", upto).withColumn("_n", n)
+    place = F.lit(p) * (F.col("_n") + 1)
+    at = lambda k: F.min(F.when(F.col("_upto") >= k, F.col("_v")))  # the value at a place, from 1
+    low, high, n, place_ = at(F.floor(place)), at(F.floor(place) + 1), F.max("_n"), F.max(place)
+    out = F.when((place_ >= 1) & (place_ <= n), low + (place_ - F.floor(place_)) * (F.coalesce(high, low) - low))
+    return rows.groupBy(*partition).agg(out.alias("percentile"))
 
 
 def nearest_rank(df: DataFrame, partition: list[str], value: str, p: float) -> DataFrame:

@@ -42,11 +42,28 @@ def _ordered_array(value: str, order: str) -> Column:
     return F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v")))), lambda s: s["v"])
 
 
-def smooth(df: DataFrame, partition: list[str], order: str, value: str, alpha: float) -> DataFrame:
-    """series, smoothed: simple exponential smoothing; a group is one series and fits a row."""
-    rows = df.groupBy(*partition).agg(_ordered_array(value, order).alias("series"))
-    step = lambda acc, x: F.concat(acc, F.array(F.when(F.size(acc) == 0, x).otherwise(alpha * x + (1 - alpha) * F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0)))))
-    return rows.withColumn("smoothed", F.aggregate("series", F.array().cast("array<double>"), step))
+def smooth(df: DataFrame, partition: list[str], order: str, value: str, alpha: float, block: int = 512) -> DataFrame:
+    """Every row with ``smoothed``: simple exponential smoothing of each series, rows with a blank value left out.
+
+    A level is linear in the one before: after n rows it is (1 - alpha)^n of that and a weighted sum. So a series is cut
+    into blocks of ``block`` rows; sums inside a block are a window, what a block hands on is one number, and
+    only these numbers are folded in order. No series is held in one row.
+    """
+    keep = 1 - alpha
+    whole = Window.partitionBy(*partition).orderBy(order)
+    rows = df.filter(F.col(value).isNotNull()).withColumn("_n", F.row_number().over(whole) - 1)
+    rows = rows.withColumn("_block", F.floor(F.col("_n") / block)).withColumn("_i", (F.col("_n") % block).cast("int"))
+    # the first value of a series is its first level
+    weight = F.when(F.col("_n") == 0, F.lit(1.0)).otherwise(F.lit(float(alpha)))
+    own = Window.partitionBy(*partition, "_block").orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)
+    near = F.collect_list(weight * F.col(value).cast("double")).over(own)  # at most ``block`` numbers
+    rows = rows.withColumn("_sum", F.aggregate(near, F.lit(0.0), lambda a, x: a * keep + x))
+    ends = rows.groupBy(*partition, "_block").agg(F.max_by("_sum", "_n").alias("_sum"), F.count(F.lit(1)).alias("_rows"))
+    before = Window.partitionBy(*partition).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    handed = F.aggregate(F.coalesce(F.collect_list(F.struct("_sum", "_rows")).over(before), F.array()), F.lit(0.0), lambda a, e: a * F.pow(F.lit(keep), e["_rows"]) + e["_sum"])
+    ends = ends.select(*partition, "_block", handed.alias("_before"))
+    out = rows.join(ends, [*partition, "_block"])
+    return out.withColumn("smoothed", F.col("_sum") + F.col("_before") * F.pow(F.lit(keep), F.col("_i") + 1)).drop("_n", "_block", "_i", "_sum", "_before")
 
 
 def holt(df: DataFrame, partition: list[str], order: str, value: str, alpha: float, beta: float, ahead: int = 1) -> DataFrame:
@@ -69,6 +86,32 @@ def seasonal_indices(df: DataFrame, season: Column, value: str) -> DataFrame:
     return means.join(F.broadcast(means.agg(F.avg("mean").alias("grand")))).select("season", (F.col("mean") / F.col("grand")).alias("season_index"))
 
 
+def deseasonalize(df: DataFrame, season: Column, value: str, indices: DataFrame, name: str = "adjusted") -> DataFrame:
+    """value over its season's index (of ``seasonal_indices``: one row a season, so it is broadcast); blank for an index of 0."""
+    return _by_season(df, season, indices).withColumn(name, F.try_divide(F.col(value), F.col("_index"))).drop("_index")
+
+
+def reseasonalize(df: DataFrame, season: Column, value: str, indices: DataFrame, name: str = "seasonal") -> DataFrame:
+    return _by_season(df, season, indices).withColumn(name, F.col(value) * F.col("_index")).drop("_index")
+
+
+def _by_season(df: DataFrame, season: Column, indices: DataFrame) -> DataFrame:
+    known = indices.select(F.col("season").alias("_season"), F.col("season_index").alias("_index"))
+    return df.withColumn("_own", season).join(F.broadcast(known), F.col("_own") == F.col("_season"), "left").drop("_own", "_season")
+
+
+def compression_ratio(df: DataFrame, partition: list[str], order: list[str], value: str) -> DataFrame:
+    """Runs of equal neighbours for each value, group by group."""
+    return runs(df, partition, order, value).groupBy(*partition).agg((F.count(F.lit(1)) / F.sum("length")).alias("ratio"))
+
+
+def class_totals(classes: DataFrame) -> DataFrame:
+    """How many items ``abc`` has in A, B and C; none is 0."""
+    names = classes.sparkSession.createDataFrame([("A",), ("B",), ("C",)], "abc_class string")
+    counts = classes.groupBy("abc_class").agg(F.count(F.lit(1)).alias("n"))
+    return names.join(counts, "abc_class", "left").select("abc_class", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def runs(df: DataFrame, partition: list[str], order: list[str], value: str) -> DataFrame:
     """Runs of equal neighbours: run, value, length."""
     w = Window.partitionBy(*partition).orderBy(*order)

@@ -46,16 +46,17 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     return both.agg(r.alias("spearman"))
 
 
-def kendall(df: DataFrame, a: str, b: str, digits: int = 21) -> DataFrame:
+def kendall(df: DataFrame, a: str, b: str) -> DataFrame:
     """tau-a without comparing all pairs: discordance is counted digit by digit of the second column's rank.
 
     Rows are ranked by a and by b (dense). A pair is decided at the highest bit in which its b ranks
     differ; inside a group of equal higher bits, each row with bit 0 counts the rows with bit 1 that
-    come strictly before and strictly after it in a. ``digits`` bounds log2 of the distinct values of b.
+    come strictly before and strictly after it in a. There are as many digits as the distinct values of b need.
     """
     rows = df.select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).dropna()
     rows = rank(rank(rows, "a", "ra", "dense"), "b", "rb", "dense")
     n = rows.agg(F.count(F.lit(1)).alias("n"))
+    digits = max(1, int(rows.agg(F.max("rb")).first()[0] or 1).bit_length())
     bits = rows.select("ra", F.explode(F.transform(F.sequence(F.lit(0), F.lit(digits - 1)), lambda i: F.struct(i.alias("i"), ((F.col("rb") / F.pow(F.lit(2.0), i)).cast("long")).alias("high")))).alias("p"))
     bits = bits.select("ra", "p.i", (F.col("p.high") % 2).alias("bit"), F.floor(F.col("p.high") / 2).alias("group"))
     cells = bits.groupBy("i", "group", "ra").agg(F.count_if(F.col("bit") == 0).alias("zeros"), F.count_if(F.col("bit") == 1).alias("ones"))
@@ -90,13 +91,27 @@ def normalise(df: DataFrame, value: str) -> DataFrame:
     return out.drop("_lo", "_hi", "_mean", "_sd", "_q")
 
 
-def avedev(df: DataFrame, value: str) -> DataFrame:
+def avedev(df: DataFrame, value: str, partition: list[str] = ()) -> DataFrame:
+    """Mean distance from the mean, of the whole table or of each group."""
+    if partition:
+        means = df.groupBy(*partition).agg(F.avg(value).alias("_mean"))
+        return df.join(means, list(partition)).groupBy(*partition).agg(F.avg(F.abs(F.col(value) - F.col("_mean"))).alias("avedev"))
     m = df.agg(F.avg(value).alias("_mean"))
     return df.join(F.broadcast(m)).agg(F.avg(F.abs(F.col(value) - F.col("_mean"))).alias("avedev"))
 
 
-def trimmed_mean(df: DataFrame, value: str, share: float) -> DataFrame:
-    """int(n * share / 2) values go from each end: counts by distinct value, so equal values need no order."""
+def trimmed_mean(df: DataFrame, value: str, share: float, partition: list[str] = ()) -> DataFrame:
+    """int(n * share / 2) values go from each end: counts by distinct value, so equal values need no order.
+
+    With partition, of each group: a window over its distinct values, sorted by Spark, none of them collected.
+    """
+    if partition:
+        counts = df.filter(F.col(value).isNotNull()).groupBy(*partition, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_k"))
+        whole = Window.partitionBy(*partition)
+        upto, n = F.sum("_k").over(whole.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)), F.sum("_k").over(whole)
+        placed = counts.withColumn("_upto", upto).withColumn("_n", n).withColumn("_cut", F.floor(F.col("_n") * share / 2))
+        kept = F.greatest(F.lit(0), F.least(F.col("_upto"), F.col("_n") - F.col("_cut")) - F.greatest(F.col("_upto") - F.col("_k"), F.col("_cut")))
+        return placed.groupBy(*partition).agg((F.sum(F.col("_v") * kept) / F.sum(kept)).alias("trimmed_mean"))
     counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("k"))
     running = with_running(counts, [F.col("v")], "upto", F.col("k"))
     n = counts.agg(F.sum("k").alias("n"))

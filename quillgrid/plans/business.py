@@ -76,7 +76,7 @@ def unit_prices(spark, d):
 def grade_book(spark, d):
     rows = table(spark, d, "events").select("user_id", "event_type", (c("event_id") % 101).cast("double").alias("score"))
     out = B.grades(rows, "user_id", "event_type", "score", {"purchase": 0.5, "view": 0.2, "click": 0.3}, 1)
-    return out.select("user_id", rounded(c("percentage"), "percentage"), "letter")
+    return out.select("user_id", "percentage", "letter", "error")
 
 
 def pay_run(spark, d):
@@ -106,7 +106,7 @@ def edit_cone(spark, d):
 
 def critical_path(spark, d):
     tasks = table(spark, d, "supplier").select(c("s_suppkey").alias("task"), (c("s_suppkey") % 7 + 1).cast("double").alias("duration"))
-    return R.critical_path(tasks, _tree(spark, d)).select("task", "start", "finish", (c("slack") >= 0).alias("feasible"))
+    return R.critical_path(tasks, _tree(spark, d)).select("task", "start", "finish", "slack", (c("slack") == 0).alias("critical"))
 
 
 def snapshot_diff(spark, d):
@@ -132,7 +132,7 @@ def what_if(spark, d):
 def goal_seek(spark, d):
     goal = c("c_acctbal") * c("c_acctbal") + 8
     x = G.goal_seek(lambda v: v * v * v, goal, 0.0, 1e6)
-    return table(spark, d, "customer").select("c_custkey", rounded(F.pow(x, 3) / goal, "share", 6))
+    return table(spark, d, "customer").select("c_custkey", x.alias("root"))
 
 
 def vectors(spark, d):
@@ -208,21 +208,30 @@ SQL = {
         FROM (SELECT s_suppkey, s_acctbal - 4500 AS v FROM supplier)""",
     "unit_prices": """SELECT p_partkey, round(u, 6) AS unit_price, row_number() OVER (PARTITION BY p_brand ORDER BY u, p_partkey)::INTEGER AS place, round((max(u) OVER (PARTITION BY p_brand) - min(u) OVER (PARTITION BY p_brand)) / max(u) OVER (PARTITION BY p_brand), 6) AS saving
         FROM (SELECT *, p_retailprice / p_size AS u FROM part)""",
-    "grade_book": """SELECT user_id, round(p, 4) AS percentage, CASE WHEN p >= 90 THEN 'A' WHEN p >= 80 THEN 'B' WHEN p >= 70 THEN 'C' WHEN p >= 60 THEN 'D' ELSE 'F' END AS letter FROM (SELECT user_id, sum(m * w) / nullif(sum(w), 0) AS p FROM (
-        SELECT user_id, event_type, avg(s) AS m, CASE event_type WHEN 'purchase' THEN 0.5 WHEN 'view' THEN 0.2 WHEN 'click' THEN 0.3 ELSE 0 END AS w FROM (
-        SELECT user_id, event_type, event_id % 101 AS s, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id % 101) AS r, count(*) OVER (PARTITION BY user_id, event_type) AS n FROM events) WHERE r > 1 OR n = 1 GROUP BY 1, 2) GROUP BY 1)""",
+    "grade_book": """SELECT user_id, p AS percentage, CASE WHEN p >= 90 THEN 'A' WHEN p >= 80 THEN 'B' WHEN p >= 70 THEN 'C' WHEN p >= 60 THEN 'D' WHEN p IS NOT NULL THEN 'F' END AS letter, CASE WHEN p IS NULL THEN '#VALUE!' END AS error
+        FROM (SELECT user_id, CASE WHEN min(n) > 1 THEN sum(m * w) / sum(w) END AS p FROM (
+        SELECT user_id, event_type, any_value(n) AS n, avg(s) FILTER (WHERE r > 1) AS m, (CASE event_type WHEN 'purchase' THEN 0.5 WHEN 'view' THEN 0.2 ELSE 0.3 END)::DOUBLE AS w FROM (
+        SELECT user_id, event_type, event_id % 101 AS s, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id % 101) AS r, count(*) OVER (PARTITION BY user_id, event_type) AS n FROM events WHERE event_type IN ('purchase', 'view', 'click')) GROUP BY 1, 2) GROUP BY 1)""",
     "pay_run": "SELECT s_suppkey, round(abs(s_acctbal) + 400, 2) AS taxable, round(abs(s_acctbal) + 350, 2) AS rest FROM supplier",
     "installment_plan": "SELECT s_suppkey, round(floor(abs(s_acctbal)), 2) AS total, CASE WHEN (floor(abs(s_acctbal)) * 100)::BIGINT % 7 = 0 THEN 0 ELSE 0.01 END::DOUBLE AS spread FROM supplier",
     "dependency_levels": f"""WITH RECURSIVE p(node, n) AS (SELECT s_suppkey, 0 FROM supplier WHERE s_suppkey = 1 UNION SELECT e.dst, p.n + 1 FROM p JOIN {_TREE} e ON e.src = p.node) SELECT node, max(n)::INTEGER AS level FROM p GROUP BY 1""",
     "edit_cone": f"WITH RECURSIVE p(node) AS (SELECT 7::BIGINT UNION SELECT e.dst FROM p JOIN {_TREE} e ON e.src = p.node) SELECT node FROM p",
     "critical_path": f"""WITH RECURSIVE p(node, t) AS (SELECT s_suppkey, 0::DOUBLE FROM supplier WHERE s_suppkey <= 1 UNION SELECT e.dst, p.t + (e.src % 7 + 1)::DOUBLE FROM p JOIN {_TREE} e ON e.src = p.node)
-        SELECT node AS task, max(t) AS start, max(t) + node % 7 + 1 AS finish, true AS feasible FROM p GROUP BY node""",
+        , b(node, t) AS (SELECT s_suppkey, 0::DOUBLE FROM supplier UNION SELECT e.src, b.t + (e.dst % 7 + 1)::DOUBLE FROM b JOIN {_TREE} e ON e.dst = b.node),
+        s AS (SELECT node AS task, max(t) AS start, max(t) + node % 7 + 1 AS finish FROM p GROUP BY node), r AS (SELECT node AS task, max(t) AS after FROM b GROUP BY node)
+        SELECT task, start, finish, (SELECT max(finish) FROM s) - finish - after AS slack, (SELECT max(finish) FROM s) = finish + after AS critical FROM s JOIN r USING (task)""",
     "snapshot_diff": """SELECT CASE WHEN gone OR (col = 0 AND c_custkey % 7 = 0) THEN 'removed' ELSE 'changed' END AS kind, col AS column, count(*) AS n FROM (SELECT c_custkey, c_custkey % 50 = 0 AS gone, c.c::INTEGER AS col FROM customer, range(0, 3) AS c(c))
         WHERE gone OR (col = 0 AND c_custkey % 7 = 0) OR (col = 1 AND c_custkey % 9 = 0) GROUP BY 1, 2""",
     "range_total": "SELECT round(sum(p_size) + sum(p_retailprice), 2) AS total, 2 * count(*) AS n, least(min(p_size), min(p_retailprice)) AS least, greatest(max(p_size), max(p_retailprice)) AS greatest FROM part WHERE p_partkey BETWEEN 100 AND 1500",
     "what_if": """SELECT r_regionkey, 'table' AS scenario, round((r_regionkey * 1000 + 1000)::DOUBLE * (1 - d.d) * (1 + t.t), 4) AS net FROM region, (VALUES (0), (0.1), (0.2)) AS d(d), (VALUES (0.05), (0.07)) AS t(t)
         UNION ALL SELECT r_regionkey, s.n, round((r_regionkey * 1000 + 1000)::DOUBLE * (1 - s.d) * (1 + s.t), 4) FROM region, (VALUES ('low', 0.3, 0.05), ('high', 0.0, 0.1)) AS s(n, d, t)""",
-    "goal_seek": "SELECT c_custkey, 1.0::DOUBLE AS share FROM customer",
+    "goal_seek": "SELECT c_custkey, cbrt(c_acctbal * c_acctbal + 8) AS root FROM customer",
+    "amortization": """WITH RECURSIVE l AS (SELECT c_custkey, (floor(abs(c_acctbal)) + 100)::DOUBLE AS loan FROM customer),
+        a(c_custkey, loan, pay, number, payment, interest, principal_part, balance) AS (
+        SELECT c_custkey, loan, round_even(loan * 0.01::DOUBLE / (1 - pow(1.01::DOUBLE, -12)) * 100, 0) / 100, 0, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE, loan FROM l
+        UNION ALL SELECT c_custkey, loan, pay, number + 1, part + i, i, part, round_even((balance - part) * 100, 0) / 100 FROM (
+        SELECT *, CASE WHEN number + 1 = 12 THEN balance ELSE round_even((pay - i) * 100, 0) / 100 END AS part FROM (SELECT *, round_even(balance * 0.01::DOUBLE * 100, 0) / 100 AS i FROM a WHERE number < 12)))
+        SELECT c_custkey, loan::BIGINT AS loan, number, payment, interest, principal_part, balance FROM a WHERE number > 0""",
     "vectors": """SELECT vec_id, round(sqrt(list_dot_product(v, v)), 5) AS length, round(list_dot_product(v, list_reverse(v)), 5) AS with_reverse, round(pi(), 5) AS angle FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)""",
     "gram_matrix": "SELECT CAST(i - 1 AS INTEGER) AS i, " + ", ".join(f"round(sum(v[i] * v[{j + 1}]), 5) AS j{j}" for j in range(8)) + " FROM (SELECT embedding::DOUBLE[] AS v FROM embeddings), range(1, 65) AS r(i) GROUP BY 1",
     "polygons": "SELECT p_partkey, (p_size * (p_partkey % 13 + 1))::DOUBLE AS area, 'clockwise' AS turned, p_size >= 5 AND p_partkey % 13 + 1 >= 5 AS inside, round(sqrt(pow(p_size, 2) + pow(p_partkey % 13 + 1, 2)), 4) AS diagonal FROM part",
@@ -233,4 +242,4 @@ SQL = {
     "markdown": """SELECT 0 AS n, '| r_regionkey | r_name |' AS line UNION ALL SELECT 1, '| ---: | --- |' UNION ALL SELECT CAST(row_number() OVER (ORDER BY r_regionkey) + 1 AS INTEGER), '| ' || r_regionkey || ' | ' || r_name || ' |' FROM region""",
     "json_records": """SELECT '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"}' AS record FROM nation""",
 }
-QUERIES = {name: globals()[name] for name in [*SQL, "amortization"]}
+QUERIES = {name: globals()[name] for name in SQL}

@@ -34,8 +34,11 @@ def heat_bands(spark, d):
 
 
 def text_charts(spark, d):
-    months = table(spark, d, "orders").groupBy(F.month("o_orderdate").alias("m")).agg(F.count(F.lit(1)).alias("n"))
-    return months.agg(P.sparkline(F.transform(F.array_sort(F.collect_list(F.struct("m", c("n").cast("double").alias("n")))), lambda s: s["n"])).alias("line")).select(F.length("line").alias("months"), F.length(F.regexp_replace("line", "[▁▂▃▄▅▆▇█]", "")).alias("other"))
+    """A line of the twelve months' orders, and a bar for each month."""
+    months = table(spark, d, "orders").groupBy(F.month("o_orderdate").alias("m")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    whole = months.agg(F.array_sort(F.collect_list(F.struct("m", "n"))).alias("all"), F.max("n").alias("most"))
+    line = P.sparkline(F.transform("all", lambda s: s["n"]))
+    return whole.select(F.explode("all").alias("x"), line.alias("line"), "most").select(c("x.m").alias("m"), "line", P.bar(c("x.n") / c("most"), 0.0, 1.0, 40).alias("bar"))
 
 
 def validation_audit(spark, d):
@@ -93,7 +96,8 @@ SQL = {
         CASE WHEN c_custkey * 25 % 2 = 1 AND (c_custkey * 25 // 2) % 2 = 0 THEN (c_custkey * 25 // 2)::VARCHAR ELSE round(c_custkey * 12.5)::BIGINT::VARCHAR END || '%' AS percent FROM customer""",
     "currencies": "SELECT o_orderkey, round(o_totalprice / 1.25 * 160, 2) AS yen, '#N/A' AS code FROM orders",
     "heat_bands": "SELECT c_custkey, least(floor((c_acctbal - lo) / (hi - lo) * 5), 4)::INTEGER AS band FROM customer, (SELECT min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer)",
-    "text_charts": "SELECT count(DISTINCT month(o_orderdate))::INTEGER AS months, 0 AS other FROM orders",
+    "text_charts": """WITH n AS (SELECT month(o_orderdate)::INTEGER AS m, count(*)::DOUBLE AS n FROM orders GROUP BY 1), e AS (SELECT min(n) AS lo, max(n) AS hi FROM n)
+        SELECT m, (SELECT string_agg(' .:-=+*#'[coalesce(round_even((n - lo) / nullif(hi - lo, 0) * 7, 0), 7)::INTEGER + 1], '' ORDER BY m) FROM n, e) AS line, '|' || repeat('#', floor(n / hi * 40 + 0.5)::INTEGER) AS bar FROM n, e""",
     "validation_audit": """SELECT o_orderkey, 'status' AS rule FROM orders WHERE o_orderstatus NOT IN ('F', 'O') UNION ALL SELECT o_orderkey, 'price' FROM orders WHERE o_totalprice NOT BETWEEN 5000 AND 300000
         UNION ALL SELECT o_orderkey, 'priority' FROM orders WHERE o_orderpriority LIKE '1%'""",
     "conditional_styles": """SELECT 'bold' AS style, count(*) AS n FROM lineitem WHERE l_quantity > 45 UNION ALL SELECT 'red', count(*) FROM lineitem WHERE l_quantity <= 45 AND l_returnflag = 'R'

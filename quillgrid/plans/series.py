@@ -144,13 +144,12 @@ def inventory_average(spark, d):
 
 
 def exponential_smoothing(spark, d):
-    out = S.smooth(table(spark, d, "events").filter("user_id is not null"), ["user_id"], "event_id", "value", 0.3)
-    return out.select("user_id", F.size("smoothed").alias("n"), rounded(F.element_at("smoothed", -1), "last_level", 4))
+    return S.smooth(table(spark, d, "events").select("user_id", "event_id", "value"), ["user_id"], "event_id", "value", 0.3, block=16).select("user_id", "event_id", "smoothed")
 
 
 def holt(spark, d):
     out = S.holt(table(spark, d, "events"), ["user_id"], "event_id", "value", 0.3, 0.1, 2)
-    return out.select("user_id", *[rounded(c(x), x) for x in ("level", "trend", "forecast")])
+    return out.select("user_id", "level", "trend", "forecast")
 
 
 _ISLANDS = """SELECT o_custkey, min(s)::INTEGER AS "start", max(e) AS "end" FROM (SELECT *, sum(new) OVER (PARTITION BY o_custkey ORDER BY s, e, o_orderkey) AS island FROM (
@@ -196,4 +195,23 @@ SQL = {
         g AS (SELECT user_id, cost, greatest(0, least(2.0, sold - (upto - 2.0))) AS gone, sold, bought FROM l JOIN s USING (user_id))
         SELECT user_id, round(sum(gone * cost), 2) AS cogs, round(sum((2.0 - gone) * cost), 2) AS ending_value, any_value(sold) > any_value(bought) AS oversold FROM g GROUP BY 1""",
 }
-QUERIES = {name: globals()[name] for name in [*SQL, "inventory_lifo", "inventory_average", "exponential_smoothing", "holt"]}
+_NUMBERED = "e AS (SELECT user_id, event_id, value, floor(value) AS cost, event_id % 3 <> 0 AS buy, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events)"
+SQL |= {
+    # a sold unit is the unit bought last at the same height of the stack
+    "inventory_lifo": """WITH u AS (SELECT user_id, event_id, k.k, CASE WHEN event_id % 3 <> 0 THEN 1 ELSE -1 END AS step, floor(value) AS cost FROM events, range(1, 3) AS k(k) WHERE event_id % 3 <> 0 OR k.k = 1),
+        s AS (SELECT *, sum(step) OVER w AS depth FROM u WINDOW w AS (PARTITION BY user_id ORDER BY event_id, k ROWS UNBOUNDED PRECEDING)),
+        h AS (SELECT *, depth - least(0, min(depth) OVER (PARTITION BY user_id ORDER BY event_id, k ROWS UNBOUNDED PRECEDING)) AS height FROM s),
+        b AS (SELECT *, coalesce(lag(height) OVER (PARTITION BY user_id ORDER BY event_id, k), 0) AS before FROM h),
+        p AS (SELECT *, CASE WHEN step < 0 AND before > 0 THEN last_value(CASE WHEN step > 0 THEN cost END IGNORE NULLS) OVER (PARTITION BY user_id, greatest(height, before) ORDER BY event_id, k ROWS UNBOUNDED PRECEDING) END AS sold FROM b)
+        SELECT user_id, round(coalesce(sum(sold), 0), 2) AS cogs, round(coalesce(sum(cost) FILTER (WHERE step > 0), 0) - coalesce(sum(sold), 0), 2) AS ending_value FROM p GROUP BY 1""",
+    "inventory_average": f"""WITH RECURSIVE {_NUMBERED}, a(user_id, n, units, worth, cogs) AS (SELECT DISTINCT user_id, 0::BIGINT, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE FROM e
+        UNION ALL SELECT user_id, e.n, CASE WHEN buy THEN units + 2 ELSE units - 1 END, CASE WHEN buy THEN worth + 2 * cost ELSE worth - unit END, CASE WHEN buy THEN cogs ELSE cogs + unit END
+        FROM (SELECT *, CASE WHEN units = 0 THEN 0 ELSE worth / units END AS unit FROM a) a JOIN e USING (user_id) WHERE e.n = a.n + 1)
+        SELECT user_id, round(arg_max(cogs, n), 2) AS cogs, round(arg_max(worth, n), 2) AS ending_value FROM a GROUP BY 1""",
+    "exponential_smoothing": f"""WITH RECURSIVE {_NUMBERED}, a(user_id, event_id, n, smoothed) AS (SELECT user_id, event_id, n, value::DOUBLE FROM e WHERE n = 1
+        UNION ALL SELECT e.user_id, e.event_id, e.n, 0.3::DOUBLE * value + 0.7::DOUBLE * smoothed FROM a JOIN e ON e.user_id = a.user_id AND e.n = a.n + 1) SELECT user_id, event_id, smoothed FROM a""",
+    "holt": f"""WITH RECURSIVE {_NUMBERED}, a(user_id, n, level, trend) AS (SELECT x.user_id, 1::BIGINT, x.value::DOUBLE, (y.value - x.value)::DOUBLE FROM e x JOIN e y ON x.user_id = y.user_id AND x.n = 1 AND y.n = 2
+        UNION ALL SELECT user_id, n, l, 0.1::DOUBLE * (l - level) + 0.9::DOUBLE * trend FROM (SELECT e.user_id, e.n, level, trend, 0.3::DOUBLE * value + 0.7::DOUBLE * (level + trend) AS l FROM a JOIN e ON e.user_id = a.user_id AND e.n = a.n + 1))
+        SELECT user_id, arg_max(level, n) AS level, arg_max(trend, n) AS trend, arg_max(level, n) + 2 * arg_max(trend, n) AS forecast FROM a GROUP BY 1""",
+}
+QUERIES = {name: globals()[name] for name in SQL}

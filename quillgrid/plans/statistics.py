@@ -32,11 +32,11 @@ def kendall(spark, d):
 
 
 def outliers_iqr(spark, d):
-    return S.outliers_iqr(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice"), "l_extendedprice", 0.9)
+    return S.outliers_iqr(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice"), "l_extendedprice", 0.2)
 
 
 def outliers_z(spark, d):
-    return S.outliers_z(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice"), "l_extendedprice", 2.0).select("l_orderkey", "l_linenumber", "l_extendedprice", rounded(c("z"), "z"))
+    return S.outliers_z(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice"), "l_extendedprice", 1.3).select("l_orderkey", "l_linenumber", "l_extendedprice", rounded(c("z"), "z"))
 
 
 def normalise(spark, d):
@@ -94,8 +94,8 @@ SQL = {
         rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2 AS b FROM lineitem)""",
     "kendall": """SELECT round(sum(sign(a.c_nationkey - b.c_nationkey) * sign(a.c_acctbal - b.c_acctbal)) / (any_value(n) * (any_value(n) - 1) / 2), 6) AS kendall FROM customer a JOIN customer b ON a.c_custkey < b.c_custkey, (SELECT count(*) AS n FROM customer)""",
     "outliers_iqr": """SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem, (SELECT quantile_cont(l_extendedprice, 0.25) AS a, quantile_cont(l_extendedprice, 0.75) AS b FROM lineitem)
-        WHERE l_extendedprice < a - 0.9 * (b - a) OR l_extendedprice > b + 0.9 * (b - a)""",
-    "outliers_z": """SELECT l_orderkey, l_linenumber, l_extendedprice, round((l_extendedprice - m) / s, 4) AS z FROM lineitem, (SELECT avg(l_extendedprice) AS m, stddev_pop(l_extendedprice) AS s FROM lineitem) WHERE abs((l_extendedprice - m) / s) > 2""",
+        WHERE l_extendedprice < a - 0.2 * (b - a) OR l_extendedprice > b + 0.2 * (b - a)""",
+    "outliers_z": """SELECT l_orderkey, l_linenumber, l_extendedprice, round((l_extendedprice - m) / s, 4) AS z FROM lineitem, (SELECT avg(l_extendedprice) AS m, stddev_pop(l_extendedprice) AS s FROM lineitem) WHERE abs((l_extendedprice - m) / s) > 1.3""",
     "normalise": """SELECT c_custkey, round((c_acctbal - lo) / (hi - lo), 6) AS min_max, round((c_acctbal - m) / s, 6) AS z_score, round((c_acctbal - q[2]) / (q[3] - q[1]), 6) AS robust FROM customer,
         (SELECT min(c_acctbal) AS lo, max(c_acctbal) AS hi, avg(c_acctbal) AS m, stddev_pop(c_acctbal) AS s, quantile_cont(c_acctbal, [0.25, 0.5, 0.75]) AS q FROM customer)""",
     "average_deviation": "SELECT round(avg(abs(l_extendedprice - m)), 4) AS avedev FROM lineitem, (SELECT avg(l_extendedprice) AS m FROM lineitem)",

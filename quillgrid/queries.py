@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import aggregates, business, display, grid, scalars, series, statistics, tables
+from .plans import aggregates, business, display, extras, grid, scalars, series, statistics, tables
 
-_MODULES = (aggregates, scalars, tables, series, statistics, business, display, grid)
+_MODULES = (aggregates, scalars, tables, series, statistics, business, display, extras, grid)
 
 
 def queries() -> dict:

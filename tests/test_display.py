@@ -14,12 +14,17 @@ def one(spark, *columns):
 
 def test_words_and_formats(spark):
     say = lambda x: P.spell_integer(F.lit(x)).rendered()
-    assert one(spark, say(0), say(-21), say(100), say(999_999), say(10**12 + 5), say(0.5)) == ("zero", "minus twenty-one", "one hundred", "nine hundred ninety-nine thousand nine hundred ninety-nine", "one trillion five", "#VALUE!")
+    assert one(spark, say(0), say(21), say(-21), say(100), say(999_999), say(10**12 + 5), say(0.5)) == ("zero", "twenty-one", "#VALUE!", "one hundred", "nine hundred ninety-nine thousand nine hundred ninety-nine", "one trillion five", "#VALUE!")
     assert one(spark, P.spell_money(F.lit(12.05)).column(), P.render_number(F.lit(1234.5), "fr"), P.number_format(F.lit(-1234.5), "0.00;(0.0)"), P.number_format(F.lit(0.256), "0.0%")) == ("twelve dollars and 05/100", "1 234,50", "(1234.5)", "25.6%")
     back = lambda s, k: P.parse_number(F.lit(s), k).rendered()
     assert one(spark, back("1.234,5", "de"), back("1,234", "en"), back("12,34", "en"), back("", "en")) == ("1234.5", "1234", "#VALUE!", "#VALUE!")
-    assert one(spark, P.sparkline(F.array(F.lit(0.0), F.lit(1.0), F.lit(0.5))), P.bar(F.lit(-1.0), -2, 2, 4), P.bar(F.lit(2.0), 0, 4, 4)) == ("▁█▅", " #|", "|##")
-    assert P.nice_ticks(0, 9) == [0, 2, 4, 6, 8, 10] and P.nice_ticks(-1, 1)[0] <= -1
+    assert one(spark, P.sparkline(F.array(F.lit(0.0), F.lit(1.0), F.lit(0.5))), P.bar(F.lit(-1.0), -2, 2, 4), P.bar(F.lit(2.0), 0, 4, 4)) == (" #=", " #|", "|##")
+    assert P.nice_ticks(0, 9) == [0, 2, 4, 6, 8, 10] and P.nice_ticks(0, 30) == [0, 10, 20, 30] and P.nice_ticks(5, 5)[0] <= 5 and P.nice_ticks(-1, 1)[0] <= -1
+    for refused in ((1, 0, 5), (0, 1, 1)):
+        with pytest.raises(ValueError):
+            P.nice_ticks(*refused)
+    assert one(spark, P.spell_money(F.lit(-1.0)).rendered(), P.color_between(F.lit(0.5), (0, 0, 0), (255, 255, 254)), P.band_around(F.lit(0.0), F.lit(-8.0), F.lit(2.0), F.lit(2.0))) == ("#VALUE!", "#80807F", -1)
+    assert P.axis(spark.createDataFrame([(4.0,), (9.0,)], "v double"), "v") == P.nice_ticks(0, 9)
 
 
 def test_rules(spark):

@@ -109,7 +109,9 @@ def test_series(spark):
     assert rows(S.stack_costing(events, ["g"], ["i"], "kind", "q", "cost"), "cogs", "ending_value") == [(40, 10)]
     assert rows(S.stack_costing(events, ["g"], ["i"], "kind", "q", "cost", "average"), "cogs", "ending_value") == [(37.5, 12.5)]
     smooth = S.smooth(spark.createDataFrame([("g", i, float(v)) for i, v in enumerate((1, 2, 3))], "g string, i int, v double"), ["g"], "i", "v", 0.5)
-    assert smooth.first().smoothed == [1, 1.5, 2.25]
+    assert [r.smoothed for r in smooth.orderBy("i").collect()] == [1, 1.5, 2.25]
+    again = S.smooth(spark.createDataFrame([("g", i, float(v)) for i, v in enumerate((1, 2, 3))], "g string, i int, v double"), ["g"], "i", "v", 0.5, block=2)
+    assert [r.smoothed for r in again.orderBy("i").collect()] == [1, 1.5, 2.25]
 
 
 def test_statistics(spark):
