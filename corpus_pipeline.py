@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgrid.llm import decontaminate, language_id, mixing, simhash, substring_dedup
-from quillgrid.llm.common import materialise, unpacked
+from quillgrid.llm.common import discard, materialise, scratch, unpacked
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,7 +18,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates the document with the smallest id stays, also where ids are null or repeat."""
-    return simhash.keep_each(docs, shingle=4, radius=4)
+    return simhash.keep_one(docs, shingle=4, radius=4)
 
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,6 +59,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what each keeps is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+    with scratch() as made:
+        for name, stage in STAGES[:-1]:
+            docs = materialise(stage(spark, docs, sf_dir), name)
+            discard(made[:-1])  # the last folder is this stage's result; nothing reads the others any more
+            del made[:-1]
     return STAGES[-1][1](spark, docs, sf_dir)
