@@ -23,6 +23,9 @@ FOLD = bytes(
     for b in range(256)
 )
 
+#: The same separators as a pattern.
+SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
 
 def key_id(name: str = "doc_id") -> Column:
     return F.coalesce(F.col(name).cast("long"), F.lit(NULL_ID))

@@ -175,3 +175,18 @@ def digest(documents: DataFrame, benchmark: DataFrame, **parameters) -> DataFram
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         contaminated().alias("contaminated"),
     )
+
+
+_SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLE = f"""
+    WITH d AS (SELECT doc_id, {_SQL_WORDS} AS ws FROM documents),
+    b AS (SELECT CAST(item_id AS VARCHAR) AS item, ws, least(13, len(ws)) AS k FROM (SELECT item_id, {_SQL_WORDS} AS ws FROM benchmark) WHERE len(ws) > 0),
+    bw AS (SELECT DISTINCT item, k, array_to_string(ws[i : i + k - 1], ' ') AS pattern FROM b, UNNEST(range(1, len(ws) - k + 2)) AS u(i)),
+    dk AS (SELECT doc_id, ws, k FROM d, (SELECT DISTINCT k FROM bw)),
+    dw AS (SELECT doc_id, i, k, array_to_string(ws[i : i + k - 1], ' ') AS pattern FROM dk, UNNEST(range(1, len(ws) - k + 2)) AS u(i)),
+    h AS (SELECT doc_id, i, k, item FROM dw JOIN bw USING (k, pattern)),
+    hit AS (SELECT doc_id, count(DISTINCT i + j.j) AS n FROM h, range(0, 13) AS j(j) WHERE j.j < k GROUP BY 1),
+    t AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY 1)
+    SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+           coalesce(n, 0) > 0 AND 20 * coalesce(n, 0) >= len(ws) AS contaminated
+    FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN t USING (doc_id)"""

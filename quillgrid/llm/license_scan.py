@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_id, key_id, materialise
+from .common import SEPARATORS, as_id, key_id, materialise
 
 #: The phrases of the contract and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -42,7 +42,6 @@ TEMPLATES = [
 ]
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: The characters beyond ASCII whose lower case has a letter of ASCII.
 _FOLDING = ("İ", "K")
 
@@ -99,7 +98,7 @@ def read_once(documents: DataFrame, templates=TEMPLATES, threshold: float = 0.8)
     shapes = [_shape(text, threshold) for _, text, _ in templates]
     vocabulary = sorted({w for words, _, _ in shapes for w in words})
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = documents.select(key_id().alias("doc_key"), F.xxhash64(text).alias("mark"), F.array_remove(F.split(folded(text), _SEPARATORS), "").alias("words"))
+    rows = documents.select(key_id().alias("doc_key"), F.xxhash64(text).alias("mark"), F.array_remove(F.split(folded(text), SEPARATORS), "").alias("words"))
     rows = rows.withColumn("seen", F.array_intersect("words", _strings(vocabulary)))
     enough = F.lit(False)
     for words, need, _ in shapes:

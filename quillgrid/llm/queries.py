@@ -79,6 +79,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import license_scan, nearest, warc
+    from . import decontaminate, license_scan, nearest, substring_dedup, warc
 
-    return {"op1_warc_index": warc.ORACLE, "op9_license_scan": license_scan.oracle(0.8), "op10_nearest_vectors": nearest.ORACLE}
+    return {
+        "op1_warc_index": warc.ORACLE, "op2_substring_dedup": substring_dedup.ORACLE, "op5_decontaminate": decontaminate.ORACLE,
+        "op9_license_scan": license_scan.oracle(0.8), "op10_nearest_vectors": nearest.ORACLE,
+    }

@@ -397,3 +397,15 @@ def digest(documents: DataFrame, **parameters) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
     out = remove_repeats(documents, keep_text=False, **parameters)
     return out.select(as_id("doc_key").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
+ORACLE = r"""
+    WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    p AS (SELECT doc_id, i, array_to_string(ws[i : i + 12], ' ') AS k FROM w, UNNEST(range(1, len(ws) - 11)) AS u(i)),
+    o AS (SELECT k, min(doc_id) AS owner FROM p GROUP BY k),
+    g AS (SELECT DISTINCT doc_id, i + j.j AS pos FROM p JOIN o USING (k), range(0, 13) AS j(j) WHERE owner < doc_id),
+    x AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM w),
+    kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS t FROM x ANTI JOIN g USING (doc_id, pos) GROUP BY 1),
+    gone AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1)
+    SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+    FROM w LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)"""

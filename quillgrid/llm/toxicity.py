@@ -156,8 +156,11 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = 2000, dims: in
     """
     labels = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     counts = {r.toxic: r["count"] for r in labels.groupBy("toxic").count().collect()}
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64(F.col("doc_id"), F.lit("fit")), "doc_id")
-    chosen = labels.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_class).drop("n")  # at most 2 * per_class
+    place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("fit")), F.lit(1 << 30))
+    # a low enough place for four times as many ids leaves no class to be sorted whole
+    reach = F.when(F.col("toxic") == 1, F.lit(4 * per_class / max(1, counts.get(1, 0)))).otherwise(F.lit(4 * per_class / max(1, counts.get(0, 0))))
+    few = labels.filter(place < reach * F.lit(float(1 << 30)))
+    chosen = few.withColumn("n", F.row_number().over(Window.partitionBy("toxic").orderBy(place, "doc_id"))).filter(F.col("n") <= per_class).drop("n")  # at most 2 * per_class
     rows = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
     sample = rows.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).toArrow().sort_by("doc_id")
     given = examples(list(zip(texts(sample["text"]), sample["toxic"].to_pylist())))
