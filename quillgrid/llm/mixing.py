@@ -88,7 +88,7 @@ def _tiers(rows: DataFrame, given: dict[str, float], temperature: float, own: in
 
 def mix(
     documents: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, block: int = 64,
-    max_blocks: int = 1 << 16, max_sources: int = 1 << 12, strata: int = 1024,
+    max_blocks: int = 1 << 16, max_sources: int = 1 << 12, per_stratum: int = 1 << 16,
 ) -> DataFrame:
     """All rows and columns of documents, with mix_position (dense, from 0), mix_block, mix_slot,
     mix_release, mix_deadline and mix_phase; columns of these names that were there go.
@@ -97,18 +97,21 @@ def mix(
     power ``temperature``. A block has ``block`` documents, or more where there would be over
     ``max_blocks``, so the schedule made on the driver has a bounded size. Of more than
     ``max_sources`` sources the largest ones and those with given weights are scheduled one by one; the
-    others share pools, spread inside by their weights, and a pool has its live sources' weights. Inside a source documents come in order of their id's hash. A
-    null source is a source; null ids and repeated rows have places of their own.
+    others share pools, spread inside by their weights, and a pool has its live sources' weights. Inside a source
+    documents come in order of their id's hash, numbered in spans of that order that have about ``per_stratum``
+    documents or fewer; the places don't depend on it. A null source is a source; null ids and repeated rows have
+    places of their own.
     """
     spark = documents.sparkSession
     names = [c for c in documents.columns if not c.startswith("mix_")]
     name = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
-    n_sources = documents.select(name.alias("pool")).distinct().count()
+    n_sources, n_rows = documents.groupBy(name.alias("pool")).count().agg(F.count("*"), F.coalesce(F.sum("count"), F.lit(0))).first()
+    strata = 1 << max(10, (-(-n_rows // per_stratum) - 1).bit_length())
     given = {f"={s}": w for s, w in (weights or {}).items()}
     rows = documents.select(F.struct(*[documents[c] for c in names]).alias("row"), name.alias("pool"), key_id().alias("doc_key"))
     rows = rows.withColumn("order", F.xxhash64("doc_key", F.lit("mix")))
-    # a source is numbered stratum by stratum, so no task has a whole source
-    rows = rows.withColumn("stratum", F.pmod(F.col("order"), F.lit(strata))).withColumn("due", F.lit(0.0))
+    # a source is numbered stratum by stratum, so no task has a whole source; strata are spans of its order
+    rows = rows.withColumn("stratum", F.shiftright("order", 65 - strata.bit_length())).withColumn("due", F.lit(0.0))
     spans: dict[str, float] = {}
     if n_sources > max_sources:
         rows, spans = _tiers(rows, given, temperature, max_sources, strata)

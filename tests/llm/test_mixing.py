@@ -31,7 +31,7 @@ def test_deviation_stays_below_one_block(sources):
 
 def test_every_row_has_one_place(spark):
     frame = awkward_documents(spark)
-    for parameters in ({}, {"block": 2, "weights": {"s0": 0.7, "s1": 0.2}}, {"block": 1, "max_blocks": 4}, {"max_sources": 2, "block": 2}, {"strata": 3, "block": 3}):
+    for parameters in ({}, {"block": 2, "weights": {"s0": 0.7, "s1": 0.2}}, {"block": 1, "max_blocks": 4}, {"max_sources": 2, "block": 2}, {"per_stratum": 1, "block": 3}):
         mixed = mixing.mix(frame, **parameters)
         rows = mixed.collect()
         assert sorted(r.mix_position for r in rows) == list(range(frame.count()))
@@ -45,7 +45,7 @@ def test_shares_follow_the_weights(spark):
     rows = mixing.mix(frame, {"a": 0.5, "b": 0.5}, block=10).collect()
     first = [r.source for r in sorted(rows, key=lambda r: r.mix_position)][:1000]
     assert abs(first.count("a") - 500) <= 10
-    again = mixing.mix(frame.repartition(7), {"a": 0.5, "b": 0.5}, block=10).collect()
+    again = mixing.mix(frame.repartition(7), {"a": 0.5, "b": 0.5}, block=10, per_stratum=1).collect()
     assert {r.doc_id: r.mix_position for r in rows} == {r.doc_id: r.mix_position for r in again}
 
 
