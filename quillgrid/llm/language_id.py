@@ -115,12 +115,16 @@ class Model:
 
 def _chosen(rows: DataFrame, per_language: int, max_rows: int, max_languages: int) -> DataFrame:
     """The distinct (lang, text) learnt from, with their place ``order`` in a seeded hash order: the first ones of each language."""
-    n = min(rows.select("lang").distinct().count(), max_languages)
-    each = max(1, min(per_language, max_rows // max(1, n)))
-    first = rows.select("lang", "order").withColumn("n", F.dense_rank().over(Window.partitionBy("lang").orderBy("order"))).filter(F.col("n") <= each)
-    # at most max_languages rows: those with most texts, of equal ones the first by name
-    last = first.groupBy("lang").agg(F.max("order").alias("last"), F.max("n").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages)
-    return rows.join(F.broadcast(last.select("lang", "last")), "lang").filter("order <= last").dropDuplicates(["lang", "order"])
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("order").alias("texts"))
+    top = sizes.orderBy(F.desc(F.least("texts", F.lit(per_language))), "lang").limit(max_languages).collect()
+    each = max(1, min(per_language, max_rows // max(1, len(top))))
+    # places low enough for four times as many texts and more, so no language is sorted whole
+    cuts = [(r.lang, (4 * each + 32) / max(1, r.texts) * 2.0**64 - 2.0**63) for r in top]
+    cuts = F.broadcast(rows.sparkSession.createDataFrame(cuts, "lang string, cut double"))
+    low = rows.select("lang", "order").join(cuts, "lang").filter(F.col("order").cast("double") < F.col("cut")).select("lang", "order").distinct()
+    first = low.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("order"))).filter(F.col("n") <= each)
+    last = first.groupBy("lang").agg(F.max("order").alias("last"))  # at most max_languages rows
+    return rows.join(F.broadcast(last), "lang").filter("order <= last").dropDuplicates(["lang", "order"])
 
 
 def _examples(rows: DataFrame, dims: int) -> DataFrame:
@@ -149,8 +153,8 @@ def fit(
     """Fit on rows (text, lang) of labelled documents; None without any.
 
     Learnt from are the first ``per_language`` texts of each language in a seeded hash order of texts, whole
-    whatever their length; fewer of each where all would be over ``max_rows``, and no more than the
-    ``max_languages`` most frequent languages. These bounds are the classifier's sample; what they bound is the driver's
+    whatever their length; fewer of each where all would be over ``max_rows``, and no more than ``max_languages``
+    languages: those with most texts, counted (about) up to ``per_language``, of equal ones the first by name. These bounds are the classifier's sample; what they bound is the driver's
     memory. A text that is there several times under a language counts once, under two languages for both.
     """
     rows = rows.filter(F.col("lang").isNotNull() & (F.octet_length("text") > 0)).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
