@@ -42,15 +42,23 @@ def NPER(rate, payment, pv, fv):
     return result(out, *cells, fails=[(bad(out), NUM)])
 
 
-def bisect(f, low: Column, high: Column, steps: int = 200) -> Column:
+def _bound(x: Column, f) -> Column:
+    """f of x with x evaluated once, however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def bisect(f, low: Column, high: Column, steps: int = 100) -> Column:
     """A root of a monotone f between low and high by halving; f gives a Column of a Column."""
     start = F.struct(low.cast("double").alias("lo"), high.cast("double").alias("hi"), f(low.cast("double")).alias("at"))
 
     def halve(s, _):
         middle = (s["lo"] + s["hi"]) / 2
-        value = f(middle)
-        same = F.signum(value) == F.signum(s["at"])
-        return F.struct(F.when(same, middle).otherwise(s["lo"]).alias("lo"), F.when(same, s["hi"]).otherwise(middle).alias("hi"), F.when(same, value).otherwise(s["at"]).alias("at"))
+
+        def half(value):
+            same = F.signum(value) == F.signum(s["at"])
+            return F.struct(F.when(same, middle).otherwise(s["lo"]).alias("lo"), F.when(same, s["hi"]).otherwise(middle).alias("hi"), F.when(same, value).otherwise(s["at"]).alias("at"))
+
+        return _bound(f(middle), half)
 
     done = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve)
     return (done["lo"] + done["hi"]) / 2
@@ -85,7 +93,7 @@ def RATE(periods, payment, pv):
 
 def npv_of(rate: Column, flows: Column, first: int = 1) -> Column:
     """Present value of an array of flows; the first is discounted ``first`` periods."""
-    return F.aggregate(F.transform(flows, lambda x, i: x / F.pow(1 + rate, i + first)), F.lit(0.0), lambda a, x: a + x)
+    return _bound(1 + rate, lambda growth: F.aggregate(F.transform(flows, lambda x, i: x / F.pow(growth, i + first)), F.lit(0.0), lambda a, x: a + x))
 
 
 def NPV(rate, flows: Column):
@@ -103,7 +111,8 @@ def IRR(flows: Column):
 
 def xnpv(rate: Column, amounts: Column, serials: Column) -> Column:
     """Dated flows at actual/365 from the first date."""
-    return F.aggregate(F.zip_with(amounts, serials, lambda a, d: a / F.pow(1 + rate, (d - F.element_at(serials, 1)) / 365.0)), F.lit(0.0), lambda s, x: s + x)
+    dated = lambda growth: F.zip_with(amounts, serials, lambda a, d: a / F.pow(growth, (d - F.element_at(serials, 1)) / 365.0))
+    return _bound(1 + rate, lambda growth: F.aggregate(dated(growth), F.lit(0.0), lambda s, x: s + x))
 
 
 def xirr(amounts: Column, serials: Column) -> Cell:
