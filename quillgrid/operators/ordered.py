@@ -15,12 +15,55 @@ from pyspark.sql import functions as F
 def _buckets(df: DataFrame, key: Column, n: int) -> Column:
     """Bucket number of a numeric, date or time key, rising with it; nulls in a bucket of their own, last."""
     x = _as_double(df, key)
-    cuts = df.select(F.percentile_approx(x, [i / n for i in range(1, n)], 1000).alias("q")).first().q if n > 1 else []
-    cuts = sorted(set(cuts or []))
+    return _bucket_of(x, sorted(set(_cuts(df, x, n))))
+
+
+def _cuts(df: DataFrame, x: Column, n: int) -> list[float]:
+    """n - 1 quantiles, repeated where one value has the share of several."""
+    if n < 2:
+        return []
+    return df.select(F.percentile_approx(x, [i / n for i in range(1, n)], max(1000, 10 * n)).alias("q")).first().q or []
+
+
+def _bucket_of(x: Column, cuts: list[float]) -> Column:
     array = F.array(*[F.lit(c) for c in cuts]).cast("array<double>")
     return F.when(x.isNull(), len(cuts) + 1).otherwise(F.size(F.filter(array, lambda c: c < x)))
 
 
+def _fine_buckets(df: DataFrame, order: list[Column], n: int) -> Column:
+    """Bucket number rising with all of the order; a value that has several buckets' share of the first key is cut by the second one.
+
+    A second key is a number, date, time or text (by its first six bytes); hot values with other second
+    keys, and rows that tie in what is cut, stay in one bucket.
+    """
+    x = _as_double(df, order[0])
+    cuts = _cuts(df, x, n)
+    shares = {c: cuts.count(c) for c in set(cuts) if cuts.count(c) > 1}
+    bucket = _bucket_of(x, sorted(set(cuts)))
+    second = _code(df, order[1]) if len(order) > 1 else None
+    if not shares or second is None:
+        return bucket
+    most = max(shares.values()) + 1
+    quantiles = F.percentile_approx("code", [i / most for i in range(1, most)], max(1000, 10 * most))
+    found = df.select(x.alias("x"), second.alias("code")).filter(F.col("x").isin(list(shares))).groupBy("x").agg(quantiles.alias("q")).collect()  # fewer rows than buckets
+    part = F.lit(0)
+    for row in found:
+        chosen = sorted(set((row.q or [])[:: -(-most // (shares[row.x] + 1))]))
+        inside = F.when(second.isNull(), most).otherwise(F.size(F.filter(F.array(*[F.lit(c) for c in chosen]).cast("array<double>"), lambda c: c < second)))
+        part = F.when(x == row.x, inside + 1).otherwise(part)  # smaller values of the bucket stay before
+    return bucket * (most + 2) + F.coalesce(part, F.lit(0))
+
+
+def _code(df: DataFrame, key: Column) -> Column | None:
+    """A number that never falls where the key rises; None for other types."""
+    kind = df.select(key.alias("k")).schema["k"].dataType.typeName()
+    if kind == "string":
+        return F.conv(F.rpad(F.substring(F.hex(key), 1, 12), 12, "0"), 16, 10).cast("double")
+    if kind in ("byte", "short", "integer", "long", "float", "double", "decimal", "date", "timestamp", "timestamp_ntz"):
+        return _as_double(df, key)
+    return None
+
+
 def _as_double(df: DataFrame, key: Column) -> Column:
     kind = df.select(key.alias("k")).schema["k"].dataType.typeName()
     if kind in ("date", "timestamp", "timestamp_ntz"):
@@ -35,13 +78,14 @@ def _size(df: DataFrame) -> int:
 def with_running(df: DataFrame, order: list[Column], name: str, value: Column, descending: bool = False) -> DataFrame:
     """Adds the running sum of value (ordinal: value 1) over the whole table in the order given.
 
-    order: the first key is numeric, a date or a time; the rest break ties. Descending turns all keys.
+    order: the first key is numeric, a date or a time; the rest break ties. Descending turns all keys:
+    nulls are last, and first if descending.
     """
-    bucket = _buckets(df, order[0], _size(df))
+    bucket = _fine_buckets(df, order, _size(df))
     rows = df.withColumn("_bucket", -bucket if descending else bucket).withColumn("_value", value)
-    keys = [c.desc_nulls_last() if descending else c.asc_nulls_last() for c in order]
+    keys = [c.desc_nulls_first() if descending else c.asc_nulls_last() for c in order]
     inside = Window.partitionBy("_bucket").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
-    # one row a bucket: as many as shuffle partitions
+    # one row a bucket: not over twice the shuffle partitions and a few
     totals = rows.groupBy("_bucket").agg(F.sum("_value").alias("_total"))
     before = totals.select("_bucket", (F.sum("_total").over(Window.orderBy("_bucket")) - F.col("_total")).alias("_before"))
     out = rows.withColumn(name, F.sum("_value").over(inside)).join(F.broadcast(before), "_bucket")
@@ -53,6 +97,18 @@ def with_ordinal(df: DataFrame, order: list[Column], name: str = "ord", descendi
     return with_running(df, order, name, F.lit(1).cast("long"), descending)
 
 
+def quantiles(df: DataFrame, value: str, shares: list[float]) -> DataFrame:
+    """One row with ``q``: exact inclusive percentiles of a whole table, between neighbours; no task holds all distinct values."""
+    v = F.col(value).cast("double")
+    counts = df.select(v.alias("v")).filter("v IS NOT NULL").groupBy("v").agg(F.count(F.lit(1)).alias("peers"))
+    placed = with_running(counts, [F.col("v")], "upto", F.col("peers")).join(F.broadcast(counts.agg(F.sum("peers").alias("n"))))
+    at = lambda place: F.max(F.when((F.col("upto") - F.col("peers") <= place) & (place < F.col("upto")), F.col("v")))
+    place = [(F.col("n") - 1) * F.lit(float(s)) for s in shares]
+    found = placed.agg(F.max("n").alias("n"), *[at(F.floor(p)).alias(f"lo{i}") for i, p in enumerate(place)], *[at(F.ceil(p)).alias(f"hi{i}") for i, p in enumerate(place)])
+    low, high = [F.col(f"lo{i}") for i in range(len(shares))], [F.col(f"hi{i}") for i in range(len(shares))]
+    return found.select(F.array(*[F.when(lo == hi, lo).otherwise((F.ceil(p) - p) * lo + (p - F.floor(p)) * hi) for p, lo, hi in zip(place, low, high)]).alias("q"))
+
+
 def cumulative(df: DataFrame, order: list[Column], value: str, name: str, partition: list[str] = ()) -> DataFrame:
     """Running total; blanks stay blank and do not break it."""
     x = F.col(value).cast("double")

@@ -8,7 +8,7 @@ from itertools import combinations_with_replacement
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import rank, with_running
+from .ordered import quantiles, rank, with_running
 
 
 def covariance_matrix(df: DataFrame, columns: list[str], correlation: bool = False) -> DataFrame:
@@ -60,18 +60,22 @@ def kendall(df: DataFrame, a: str, b: str) -> DataFrame:
     bits = rows.select("ra", F.explode(F.transform(F.sequence(F.lit(0), F.lit(digits - 1)), lambda i: F.struct(i.alias("i"), ((F.col("rb") / F.pow(F.lit(2.0), i)).cast("long")).alias("high")))).alias("p"))
     bits = bits.select("ra", "p.i", (F.col("p.high") % 2).alias("bit"), F.floor(F.col("p.high") / 2).alias("group"))
     cells = bits.groupBy("i", "group", "ra").agg(F.count_if(F.col("bit") == 0).alias("zeros"), F.count_if(F.col("bit") == 1).alias("ones"))
-    # ra strictly below; the groups of the highest bits are whole tables of distinct ra, combined before
-    w = Window.partitionBy("i", "group").orderBy("ra").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("i", "group")
-    below = F.coalesce(F.sum("ones").over(w), F.lit(0))
-    above = F.sum("ones").over(whole) - below - F.col("ones")
+    # ra strictly below; the groups of the highest bits are whole tables of distinct ra, so they are cut into slices of 65,536 ranks
+    cells = cells.withColumn("slice", F.floor(F.col("ra") / (1 << 16)))
+    group, slices = Window.partitionBy("i", "group"), Window.partitionBy("i", "group").orderBy("slice")
+    totals = cells.groupBy("i", "group", "slice").agg(F.sum("ones").alias("here"))
+    totals = totals.select("i", "group", "slice", (F.sum("here").over(slices) - F.col("here")).alias("before"), F.sum("here").over(group).alias("all"))
+    inside = Window.partitionBy("i", "group", "slice").orderBy("ra").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.join(totals, ["i", "group", "slice"])
+    below = F.col("before") + F.coalesce(F.sum("ones").over(inside), F.lit(0))
+    above = F.col("all") - below - F.col("ones")
     score = cells.withColumn("s", F.col("zeros") * (above - below)).agg(F.coalesce(F.sum("s"), F.lit(0)).alias("s"))
     return score.join(n).select((F.col("s") / (F.col("n") * (F.col("n") - 1) / 2)).alias("kendall"))
 
 
 def outliers_iqr(df: DataFrame, value: str, multiplier: float = 1.5) -> DataFrame:
     """Rows outside the quartiles by more than multiplier times their distance."""
-    q = df.agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+    q = quantiles(df, value, [0.25, 0.75])
     x, low, high = F.col(value), F.col("q")[0], F.col("q")[1]
     return df.join(F.broadcast(q)).filter((x < low - multiplier * (high - low)) | (x > high + multiplier * (high - low))).drop("q")
 
@@ -83,9 +87,9 @@ def outliers_z(df: DataFrame, value: str, threshold: float = 3.0) -> DataFrame:
 
 
 def normalise(df: DataFrame, value: str) -> DataFrame:
-    """min_max, z_score and robust scales beside each row; one pass for the figures, one to apply them."""
+    """min_max, z_score and robust scales beside each row."""
     x = F.col(value).cast("double")
-    f = df.agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"), F.avg(x).alias("_mean"), F.stddev_pop(x).alias("_sd"), F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
+    f = df.agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"), F.avg(x).alias("_mean"), F.stddev_pop(x).alias("_sd")).join(quantiles(df, value, [0.25, 0.5, 0.75]).withColumnRenamed("q", "_q"))  # one row each
     out = df.join(F.broadcast(f)).withColumn("min_max", F.try_divide(x - F.col("_lo"), F.col("_hi") - F.col("_lo")))
     out = out.withColumn("z_score", F.try_divide(x - F.col("_mean"), F.col("_sd"))).withColumn("robust", F.try_divide(x - F.col("_q")[1], F.col("_q")[2] - F.col("_q")[0]))
     return out.drop("_lo", "_hi", "_mean", "_sd", "_q")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from quillgrid.functions import lookups as K
 from quillgrid.functions import maths as N
 from quillgrid.operators import business as B
+from quillgrid.operators import ordered as O
 from quillgrid.operators import series as S
 from quillgrid.operators import statistics as Q
 
@@ -33,3 +34,25 @@ def test_long_series_and_many_ranks(spark):
     got = [r.smoothed for r in S.smooth(rows, ["g"], "i", "v", 0.2, block=64).orderBy("i").collect()]
     assert got == pytest.approx(want, rel=1e-12)
     assert Q.kendall(spark.createDataFrame([(i, i) for i in range(64)], "a int, b int"), "a", "b").first().kendall == 1.0
+
+
+def test_running_over_a_hot_first_key(spark):
+    """A first key with most rows is cut by the second one; numbers are as in one global window."""
+    rows = [(None if i % 17 == 0 else 5 if i % 4 else i % 9, None if i % 13 == 0 else f"k{i * 7919 % 1000:04d}", i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "a int, s string, i int")
+    order = [F.col("a"), F.col("s"), F.col("i")]
+    for down in (False, True):
+        numbered = O.with_ordinal(df, order, descending=down).collect()
+        last = lambda v: (v is None, v if v is not None else 0)
+        text = lambda v: (v is None, v or "")
+        wanted = sorted(rows, key=lambda r: (last(r[0]), text(r[1]), r[2]), reverse=down)
+        assert [(r.a, r.s, r.i) for r in sorted(numbered, key=lambda r: r.ord)] == wanted
+    buckets = df.select(O._fine_buckets(df, order, 8).alias("b")).groupBy("b").count().agg(F.max("count")).first()[0]
+    assert buckets < 700  # the hot key has 1,411 rows
+
+
+def test_whole_quantiles_are_exact(spark):
+    df = spark.createDataFrame([(float(i * i % 101),) for i in range(997)] + [(None,)], "v double")
+    shares = [0.0, 0.1, 0.25, 0.5, 0.999, 1.0]
+    assert O.quantiles(df, "v", shares).first().q == df.agg(F.percentile("v", F.array(*[F.lit(s) for s in shares])).alias("q")).first().q
+    assert O.quantiles(df.filter("false"), "v", [0.5]).first().q == [None]
