@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -11,6 +10,7 @@ from ..functions import arrays as A
 from ..operators import business as B
 from ..operators import cells as G
 from ..operators import graph as R
+from ..session import shared_base
 from ..sources import text_files as X
 from .common import rounded, table
 
@@ -168,8 +168,7 @@ def probabilities(spark, d):
 
 def csv_round_trip(spark, d):
     """The table written as CSV and read back as text, its cells inferred again."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-csv-")
-    path = f"{base}/csv-{uuid.uuid4().hex}"
+    path = f"{shared_base(spark, 'spark-csv-')}/csv-{uuid.uuid4().hex}"
     rows = table(spark, d, "customer").select("c_custkey", "c_name", F.lpad(c("c_nationkey").cast("string"), 5, "0").alias("code"), (c("c_custkey") % 2 == 0).alias("even"), F.concat(F.lit('a "quoted", '), c("c_mktsegment")).alias("note"))
     X.write_csv(rows, path)
     back = X.infer_columns(X.read_csv(spark, path))

@@ -39,11 +39,17 @@ def ship(spark: SparkSession) -> SparkSession:
 def durable(frame):
     """The frame written to the checkpoint folder of the session: short lineage, safe from lost executors.
 
-    Sessions without such a folder (tests on one machine) get a local one.
+    Sessions on one machine without such a folder (tests) get a local one; others have to name one.
     """
     spark = frame.sparkSession
-    jsc = spark.sparkContext._jsc.sc()
-    if not jsc.getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.sparkContext.setCheckpointDir(folder)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_base(spark, "spark-checkpoint-"))
     return frame.checkpoint()
+
+
+def shared_base(spark: SparkSession, prefix: str) -> str:
+    """The folder in spark.checkpoint.dir; a local one only where none is set and the master is local."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    return folder or "file://" + tempfile.mkdtemp(prefix=prefix)
