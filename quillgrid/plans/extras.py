@@ -112,9 +112,9 @@ def prime_steps(spark, d):
 
 
 def linear_systems(spark, d):
-    """[[a, b], [b, a]] x = [1, 2]: no answer where a = b."""
+    """[[a, b], [b, a]] x = [1, 0.7]: no answer where a = b, and no unknown that is zero but for rounding."""
     a, b = c("p_size").cast("double"), (c("p_partkey") % 7).cast("double")
-    x = A.solve(F.array(F.array(a, b), F.array(b, a)), F.array(F.lit(1.0), F.lit(2.0)))
+    x = A.solve(F.array(F.array(a, b), F.array(b, a)), F.array(F.lit(1.0), F.lit(0.7)))
     return table(spark, d, "part").select("p_partkey", F.get(x, F.lit(0)).alias("x"), F.get(x, F.lit(1)).alias("y"))
 
 
@@ -218,7 +218,7 @@ SQL = {
         SELECT node AS task, s AS start, repeat(' ', c0) || CASE WHEN c0 = c1 THEN '*' ELSE repeat(CASE WHEN slack = 0 THEN '#' ELSE '=' END, c1 - c0) END || repeat('.', c2) || CASE WHEN slack = 0 THEN ' (critical)' ELSE '' END AS bar FROM y""",
     "prime_steps": """WITH p AS (SELECT a.a AS p FROM range(2, 120) AS a(a) WHERE NOT EXISTS (SELECT 1 FROM range(2, 12) AS b(b) WHERE b.b < a.a AND a.a % b.b = 0))
         SELECT p_partkey, (SELECT min(p) FROM p WHERE p > p_partkey % 100) AS next, '#NUM!' AS refused, p_partkey + 1 AS product FROM part""",
-    "linear_systems": "SELECT p_partkey, CASE WHEN a <> b THEN (a - 2 * b) / (a * a - b * b) END AS x, CASE WHEN a <> b THEN (2 * a - b) / (a * a - b * b) END AS y FROM (SELECT p_partkey, p_size::DOUBLE AS a, (p_partkey % 7)::DOUBLE AS b FROM part)",
+    "linear_systems": "SELECT p_partkey, CASE WHEN a <> b THEN (a - 0.7::DOUBLE * b) / (a * a - b * b) END AS x, CASE WHEN a <> b THEN (0.7::DOUBLE * a - b) / (a * a - b * b) END AS y FROM (SELECT p_partkey, p_size::DOUBLE AS a, (p_partkey % 7)::DOUBLE AS b FROM part)",
     "optimum": "SELECT p_partkey, p_size::DOUBLE AS low, -p_size::DOUBLE AS high FROM part",
     "number_signs": """SELECT l_orderkey, l_linenumber, l_quantity - 30 AS less, l_quantity / 100 AS percent, -l_quantity AS negative, 15.0::DOUBLE AS oct, 5.0::DOUBLE AS bin, true AS no_text, true AS logical, l_quantity < 30 AS below, l_quantity >= 30 AS not_below FROM lineitem""",
     "finance_extras": """SELECT c_custkey, 0.5::DOUBLE AS roi, v / 5 AS even, exp(0.05) - 1 AS effective, ln(1.05) AS nominal, v / 100 / (1 + v / 100) AS margin, 100 / (v + 100) / (1 - 100 / (v + 100)) AS markup, round_even(v * 100 / 1.25, 0) / 100 AS net, (v * 100 - round_even(v * 100 / 1.25, 0)) / 100 AS tax,
