@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.finance import bisect
-from .statistics import normal_cdf
+from .ordered import quantiles
+from .statistics import normal_cdf, seeded
 
 
 def trend(df: DataFrame, partition: list[str], x: str, y: str, future: list[float], exponential: bool = False) -> DataFrame:
@@ -77,10 +78,12 @@ def nearest_rank(df: DataFrame, partition: list[str], value: str, p: float) -> D
 
 def simulate(spark: SparkSession, model, ranges: list[tuple[float, float]], trials: int, seed: int, percentiles: tuple[int, ...] = (5, 50, 95)) -> DataFrame:
     """mean, least, greatest and percentiles of model(inputs) over uniform draws; a trial's draws hang on seed and number only."""
-    unit = lambda k: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.lit(1 << 52)) / float(1 << 52)
+    unit = lambda k: F.conv(F.substring(seeded(seed, F.lit(k), F.col("id")), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
     draws = spark.range(trials).select(*[(low + (high - low) * unit(k)).alias(f"x{k}") for k, (low, high) in enumerate(ranges)])
     out = draws.select(model(*[F.col(f"x{k}") for k in range(len(ranges))]).alias("y"))
-    return out.agg(F.avg("y").alias("mean"), F.min("y").alias("least"), F.max("y").alias("greatest"), *[F.percentile("y", F.lit(p / 100)).alias(f"p{p}") for p in percentiles])
+    figures = out.agg(F.avg("y").alias("mean"), F.min("y").alias("least"), F.max("y").alias("greatest"))
+    found = figures.join(quantiles(out, "y", [p / 100 for p in percentiles]))  # one row each
+    return found.select("mean", "least", "greatest", *[F.col("q")[i].alias(f"p{p}") for i, p in enumerate(percentiles)])
 
 
 def bootstrap(df: DataFrame, seed: int) -> DataFrame:

@@ -168,9 +168,8 @@ def normal_cdf(x: Column, mean: float = 0.0, sd: float = 1.0) -> Column:
 def kmeans_1d(df: DataFrame, value: str, k: int, rounds: int = 100) -> list[float]:
     """Centres by Lloyd from rank seeds: each round is one aggregate over distinct values; k numbers are on the driver."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n")).persist()
-    seeds = counts.agg(F.percentile("v", F.array(*[F.lit((2 * i + 1) / (2 * k)) for i in range(k)]), F.col("n")).alias("q")).first().q
-    centres = list(seeds)
     try:
+        centres = list(quantiles(df, value, [(2 * i + 1) / (2 * k) for i in range(k)]).first().q)
         for _ in range(rounds):
             nearest = F.array_min(F.array(*[F.struct(F.abs(F.col("v") - c).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(centres)]))["i"]
             means = {r.i: r.m for r in counts.groupBy(nearest.alias("i")).agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("m")).collect()}
@@ -183,13 +182,18 @@ def kmeans_1d(df: DataFrame, value: str, k: int, rounds: int = 100) -> list[floa
     return centres
 
 
+def seeded(seed: int, *keys: Column) -> Column:
+    """A hash of the seed and the keys that any engine has: MD5 of them, colons between."""
+    return F.md5(F.concat_ws(":", F.lit(seed), *keys))
+
+
 def sample_rows(df: DataFrame, key: str, k: int, seed: int) -> DataFrame:
     """k rows, the same ones for a seed: the least hashes, k of each task before the shuffle."""
-    return df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed))).orderBy("_h", key).limit(k).drop("_h")
+    return df.withColumn("_h", seeded(seed, F.col(key))).orderBy("_h", key).limit(k).drop("_h")
 
 
 def shuffle_rows(df: DataFrame, key: str, seed: int) -> DataFrame:
-    return df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed))).orderBy("_h", key).drop("_h")
+    return df.withColumn("_h", seeded(seed, F.col(key))).orderBy("_h", key).drop("_h")
 
 
 def score(df: DataFrame, criteria: dict[str, tuple[float, bool]]) -> DataFrame:

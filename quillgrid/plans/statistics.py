@@ -87,6 +87,14 @@ def sample(spark, d):
 
 _PAIRS = [(a, b) for i, a in enumerate(_COLUMNS) for b in _COLUMNS[i:]]
 SQL = {
+    "sample": "SELECT o_orderkey FROM orders ORDER BY md5(concat_ws(':', 7, o_orderkey)), o_orderkey LIMIT 50",
+    "kmeans": """WITH RECURSIVE v AS (SELECT l_quantity::DOUBLE AS v, count(*) AS n FROM lineitem WHERE l_quantity IS NOT NULL GROUP BY 1),
+        r AS (SELECT 0 AS i, (SELECT quantile_cont(l_quantity::DOUBLE, [1 / 6, 0.5, 5 / 6]) FROM lineitem) AS c
+        UNION ALL SELECT i + 1, [coalesce(sum(v * n) FILTER (k = 1) / sum(n) FILTER (k = 1), any_value(c[1])),
+            coalesce(sum(v * n) FILTER (k = 2) / sum(n) FILTER (k = 2), any_value(c[2])),
+            coalesce(sum(v * n) FILTER (k = 3) / sum(n) FILTER (k = 3), any_value(c[3]))]
+        FROM (SELECT i, c, v, n, CASE WHEN abs(v - c[1]) <= least(abs(v - c[2]), abs(v - c[3])) THEN 1 WHEN abs(v - c[2]) <= abs(v - c[3]) THEN 2 ELSE 3 END AS k FROM r, v WHERE i < 100) GROUP BY i)
+        SELECT unnest([0, 1, 2])::INTEGER AS cluster, unnest(c) AS centre FROM r WHERE i = 100""",
     "cov_matrix": " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(covar_pop({a}, {b}), 6) AS value FROM lineitem" for a, b in _PAIRS),
     "corr_matrix": " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS value FROM lineitem" for a, b in _PAIRS),
     "weighted_median": "SELECT min(v) AS weighted_median FROM (SELECT l_extendedprice AS v, sum(l_quantity) OVER (ORDER BY l_extendedprice) AS r, sum(l_quantity) OVER () / 2 AS h FROM lineitem) WHERE r >= h",
@@ -108,4 +116,4 @@ SQL = {
     "scorecard": """SELECT p_partkey, round(0.4 * (p_size - a) / (b - a) + 0.6 * (1 - (p_retailprice - x) / (y - x)), 6) AS score FROM part, (SELECT min(p_size) AS a, max(p_size) AS b, min(p_retailprice) AS x, max(p_retailprice) AS y FROM part)""",
     "poly_fit": "SELECT 0 AS power, round(regr_intercept(l_discount, l_quantity), 6) AS coefficient FROM lineitem UNION ALL SELECT 1, round(regr_slope(l_discount, l_quantity), 6) FROM lineitem",
 }
-QUERIES = {name: globals()[name] for name in [*SQL, "kmeans", "sample"]}
+QUERIES = {name: globals()[name] for name in SQL}
